@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_codec, langid, token_counts
+from textloom.llm import bpe_codec, decontaminate, langid, token_counts
 from textloom.llm._common import held_out, table
 
 
@@ -17,6 +17,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(langid.training(docs))
@@ -24,5 +28,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_bpe_round_trip, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_bpe_round_trip, op9_benchmark_decontamination, op10_language_id)}
 ORACLE: dict[str, str] = {}
