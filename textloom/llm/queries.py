@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_codec, decontaminate, langid, token_counts
+from textloom.llm import bpe_codec, decontaminate, langid, minhash, token_counts
 from textloom.llm._common import held_out, table
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_bpe_round_trip, op9_benchmark_decontamination, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_token_counts, op5_bpe_round_trip, op9_benchmark_decontamination, op10_language_id)}
 ORACLE: dict[str, str] = {}
