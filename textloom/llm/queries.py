@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_codec, decontaminate, langid, minhash, neighbours, token_counts, warc
+from textloom.llm import bpe_codec, decontaminate, langid, minhash, neighbours, quality, token_counts, warc
 from textloom.llm._common import held_out, table
 from textloom.session import shared_dir
 
@@ -33,6 +33,12 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_minhash_near_dedup, op3_nearest_neighbours, op4_token_counts, op5_bpe_round_trip, op9_benchmark_decontamination, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_minhash_near_dedup, op3_nearest_neighbours, op4_token_counts, op5_bpe_round_trip, op8_quality_ranking, op9_benchmark_decontamination, op10_language_id)}
 ORACLE: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
