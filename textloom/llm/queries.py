@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_codec, decontaminate, langid, minhash, neighbours, pii, quality, token_counts, warc
+from textloom.llm import bpe_codec, decontaminate, langid, line_dedup, minhash, neighbours, pii, quality, token_counts, warc
 from textloom.llm._common import held_out, table
 from textloom.session import shared_dir
 
@@ -33,6 +33,11 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text")
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_minhash_near_dedup, op3_nearest_neighbours, op4_token_counts, op5_bpe_round_trip, op7_pii_surrogates, op8_quality_ranking, op9_benchmark_decontamination, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_minhash_near_dedup, op3_nearest_neighbours, op4_token_counts, op5_bpe_round_trip, op6_line_dedup, op7_pii_surrogates, op8_quality_ranking, op9_benchmark_decontamination, op10_language_id)}
 ORACLE: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
