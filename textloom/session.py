@@ -36,8 +36,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/textloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go with its end, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._textloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that ``materialise`` returned; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._textloom_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
