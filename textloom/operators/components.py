@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import materialise
+from textloom.session import discard, materialise
 
 MAX_ROUNDS = 60
+#: Rows of edges that a task takes; a few edges don't need all shuffle partitions' tasks.
+ROWS_A_TASK = 250_000
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -28,19 +30,22 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     e = e.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialise(e, "edges")
     before = _digest(e)
-    for _ in range(MAX_ROUNDS):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    tasks = 2 * before[0] // ROWS_A_TASK + 1
+    for _ in range(MAX_ROUNDS if before[0] else 0):
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = materialise(small, "edges")
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
+        last, e = e, materialise(small.distinct().coalesce(tasks), "edges")
         after = _digest(e)
+        discard(last)
         if after == before:
             break
         before = after
     else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = e.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
     members = e.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     alone = loops.distinct().join(members.select("vertex").union(roots.select("vertex")), "vertex", "left_anti")
