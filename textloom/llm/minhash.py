@@ -9,9 +9,10 @@ sum(min)/sum(max), their weighted Jaccard. Points are made only up to a horizon
 filled, and further for documents where one isn't, so the signature is exact and its cost per document is bounded.
 
 Candidates. Exact copies share one node. Registers are banded (24 bands of 5: a pair of 0.8 is missed once in 14,000).
-In a bucket every member is compared with the bucket's leader, its most central member; members that end in another
-component than their leader are then compared with all others of the bucket, block by block. No pair of a bucket is made
-a row unless its signatures agree enough (four standard deviations below the threshold).
+In a bucket every member is compared with the bucket's leader, its smallest member; members that end in another component
+than their leader then meet all others of the bucket, block by block: first each names the nearest one of another
+component, and once these links have joined components, all that are still in another one. No pair of a bucket is made a
+row unless its signatures agree enough (four standard deviations below the threshold).
 
 Verification counts the shingles of both texts: sum(min)/sum(max) >= threshold. Classes are connected components.
 
@@ -133,8 +134,9 @@ def _near(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
 
-def _within(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block (bucket, part of the open members, part of all members): agreeing, not of one component."""
+def _within(batches: Iterator[pa.RecordBatch], least: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block (bucket, part of the open members, part of all members): agreeing, not of one component; for
+    ``nearest`` only each open member's best one."""
     rows: list[pa.RecordBatch] = []
 
     def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -148,8 +150,14 @@ def _within(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             same = np.zeros((len(a), len(right)), np.int16)
             for r in range(M):
                 same += code[a, r][:, None] == code[right, r][None, :]
-            i, j = np.nonzero((same >= least) & (comp[a][:, None] != comp[right][None, :]))
-            if len(i):
+            ok = (same >= least) & (comp[a][:, None] != comp[right][None, :])
+            i, j = np.nonzero(ok)
+            if nearest and len(i):
+                best = np.where(ok, same, -1).argmax(1)
+                i = np.flatnonzero(ok.any(1))
+                x, y = node.take(pa.array(a[i])), node.take(pa.array(right[best[i]]))
+                yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
+            elif len(i):
                 i, j = a[i], right[j]
                 first = (_band_hashes(code[i]) == _band_hashes(code[j])).argmax(1)  # each pair from its first common band only
                 ok = _band_hashes(code[i])[np.arange(len(i)), first] == bucket
@@ -189,54 +197,62 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     kind = docs.schema[key].dataType.simpleString()
     least = int(np.floor((threshold - SLACK) * M))
     rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    named = rows.where(F.col("doc").isNotNull())
+    named = rows.where(F.col("doc").isNotNull()).withColumn("digest", F.md5(F.col("t").cast("binary")))
 
-    signed = materialise(arrow_map(named.withColumn("digest", F.md5(F.col("t").cast("binary"))), _sign, f"doc {kind}, digest string, sig binary"), "signatures")
-    groups = signed.where("sig is not null").groupBy("digest").agg(F.min("doc").alias("node"))
-    member = materialise(signed.where("sig is not null").select("doc", "digest").join(groups, "digest").select("doc", "node"), "members")
-    nodes = signed.where("sig is not null").join(member.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("node"), "sig").dropDuplicates(["node"])
-    nodes = materialise(nodes, "nodes")
+    signed = materialise(arrow_map(named, _sign, f"doc {kind}, digest string, sig binary"), "signatures").where("sig is not null")
+    # A node stands for all documents of one text, a document for one of its texts.
+    nodes = signed.groupBy("digest").agg(F.min("doc").alias("node"), F.first("sig").alias("sig"))
+    nodes = materialise(nodes.groupBy("node").agg(F.min(F.struct("digest", "sig")).alias("x")).select("node", "x.digest", "x.sig"), "nodes")
 
-    bands = arrow_map(nodes, _bands, f"bucket long, node {kind}", 500_000)
-    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    multi = materialise(bands.join(sizes, "bucket"), "buckets")
-    central = multi.groupBy("node").agg(F.sum("n").alias("c"))
-    lead = multi.join(central, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("c"), "node")).alias("m")).select("bucket", F.col("m.node").alias("lead"))
+    bands = arrow_map(nodes.select("node", "sig"), _bands, f"bucket long, node {kind}", 500_000)
+    leads = bands.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    multi = materialise(bands.join(leads, "bucket"), "buckets")
+    sa, sb = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of nodes, those whose texts hold enough shingles in common."""
-        texts = named.select(F.col("doc").alias("k"), "t")
-        wide = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "digest"), "node")
+        texts = named.join(asked.withColumnRenamed("node", "doc"), ["doc", "digest"]).dropDuplicates(["doc", "digest"]).select("doc", "t")
+        wide = pairs.join(texts.select(F.col("doc").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("t").alias("tb")), "b")
         return materialise(arrow_map(wide.select("a", "b", "ta", "tb"), partial(_verify, threshold=threshold), f"a {kind}, b {kind}", 1_000_000), "links")
 
-    pairs = multi.join(lead, "bucket").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    sa, sb = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+    pairs = multi.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     pairs = materialise(arrow_map(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), partial(_near, least=least), f"a {kind}, b {kind}"), "pairs")
-    links = verified(pairs)
-    comp = materialise(connected_components(links, "a", "b"), "components")
-
-    # Members that are not in their leader's component meet all others of their bucket.
-    named_comp = nodes.join(comp, nodes.node == comp.vertex, "left").select("node", "sig", F.coalesce("component", "node").alias("comp"))
-    inside = multi.join(named_comp, "node").select("bucket", "node", "sig", "comp")
-    lead_comp = lead.join(named_comp.select(F.col("node").alias("lead"), F.col("comp").alias("lc")), "lead").select("bucket", "lc")
-    inside = materialise(inside.join(lead_comp, "bucket").withColumn("open", F.col("comp") != F.col("lc")), "inside")
-    todo = inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("k")).where("k > 0")
-    todo = todo.select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("np"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nq"))
-    part = F.xxhash64("node", F.lit(7))
-    at = inside.join(todo, "bucket")
-    left = at.where("open").select("bucket", F.pmod(part, F.col("np")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.lit(0).alias("side"), "node", "sig", "comp")
-    right = at.select("bucket", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("p"), F.pmod(part, F.col("nq")).cast("int").alias("q"), F.lit(1).alias("side"), "node", "sig", "comp")
-    blocks = left.unionByName(right)
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = blocks.repartition(width, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    more = blocks.mapInArrow(partial(_within, least=least), f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = more.join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    extra = verified(more)
-    if not extra.isEmpty():
-        comp = materialise(connected_components(links.union(extra), "a", "b"), "components")
-
-    found = member.join(comp, member.node == comp.vertex, "left").select("doc", F.coalesce("component", "node").alias("class_id"))
-    found = found.groupBy("doc").agg(F.min("class_id").alias("class_id"))
+    tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    comp = materialise(connected_components(verified(pairs), "a", "b"), "components")
+
+    # Members outside their leader's component meet all others of their bucket: first each names its nearest one there,
+    # and after these links have joined components, all that are still in another component.
+    for nearest in (True, False):
+        label = comp.select(F.col("vertex").alias("node"), F.col("component").alias("own"))
+        at = multi.join(label, "node", "left").join(label.select(F.col("node").alias("lead"), F.col("own").alias("of")), "lead", "left")
+        at = at.select("bucket", "node", F.coalesce("own", "node").alias("comp"), (F.coalesce("own", "node") != F.coalesce("of", "lead")).alias("open"))
+        at = materialise(at, "inside")
+        todo = at.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("k")).where("k > 0")
+        todo = materialise(todo.select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("np"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nq")), "open-buckets")
+        if todo.isEmpty():
+            break
+        some = at.join(todo, "bucket").join(nodes.select("node", "sig"), "node")
+        part = F.xxhash64("node", F.lit(7))
+        left = some.where("open").select("bucket", F.pmod(part, F.col("np")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.lit(0).alias("side"), "node", "sig", "comp")
+        right = some.select("bucket", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("p"), F.pmod(part, F.col("nq")).cast("int").alias("q"), F.lit(1).alias("side"), "node", "sig", "comp")
+        width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        blocks = left.unionByName(right).repartition(width, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+        more = blocks.mapInArrow(partial(_within, least=least, nearest=nearest), f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        more = materialise(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(more)
+        links = verified(more)
+        if links.isEmpty():
+            continue
+        # The new links join components: those of the smaller graph of components are looked up for each vertex.
+        ends = links.join(label.select(F.col("node").alias("a"), F.col("own").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("own").alias("cb")), "b", "left")
+        merged = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b")
+        new = merged.select(F.col("vertex").alias("component"), F.col("component").alias("top"))
+        both = comp.join(new, "component", "full_outer").select(F.coalesce("vertex", "component").alias("vertex"), F.coalesce("top", "component").alias("component"))
+        comp = materialise(both, "components")
+
+    by_text = nodes.join(comp, nodes.node == comp.vertex, "left").select("digest", F.coalesce("component", "node").alias("class_id"))
+    found = signed.select("doc", "digest").join(by_text, "digest").groupBy("doc").agg(F.min("class_id").alias("class_id"))
     out = rows.select("doc").join(found, "doc", "left")
     return out.select(F.col("doc").alias(key), F.coalesce("class_id", "doc").alias("class_id"))
 
