@@ -6,7 +6,7 @@ of ``threshold`` with it (equal sets have 1). Lines of under ``min_words`` disti
 Rarity. One pass counts words in 2**18 bins; words are ordered by their bin's count (in half powers of two), then hash.
 Equal sets. Each distinct set is taken once, from its first line. Candidates. A set posts the rarest words of its probe
 prefix. Two sets that are similar share one of these within the index prefix of the smaller; pairs must also pass the
-length filter, the positional filter and a bound from 64-bit parity maps of the words, which never drops a similar pair.
+length filter, the positional filter and a bound from 128-bit parity maps of the words, which never drops a similar pair.
 A later set needs only one similar earlier set, so at first each bucket names its two earliest candidates; sets that these
 don't settle meet all further candidates in a second round, so no case is left out. Words whose bins count over 4,096
 are counted exactly, and buckets over that are cut into blocks that meet the bucket's first members, then, for the sets
@@ -136,10 +136,12 @@ def _describe(batch: pa.RecordBatch, counts: np.ndarray, threshold: float, min_w
     run1 = np.concatenate([np.zeros(1, U), np.cumsum(mix(h), dtype=U)])
     run2 = np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), dtype=U)])
     h1, h2 = run1[begin + n] - run1[begin], run2[begin + n] - run2[begin]
-    flags = U(1) << (mix(h) & U(63))
+    place = mix(h) & U(127)
+    flag = U(1) << (place & U(63))
     nonempty = np.flatnonzero(size > 0)
-    maps = np.zeros(len(size), U)
-    maps[nonempty] = np.bitwise_xor.reduceat(flags, at[:-1][nonempty])
+    maps = np.zeros((2, len(size)), U)
+    for k in range(2):
+        maps[k, nonempty] = np.bitwise_xor.reduceat(np.where(place >> U(6) == k, flag, U(0)), at[:-1][nonempty])
     probe = n - needed(n, threshold) + 1
     flat = np.repeat(begin - (np.cumsum(probe) - probe), probe) + np.arange(int(probe.sum()))
     words = h[flat]
@@ -154,15 +156,16 @@ def _describe(batch: pa.RecordBatch, counts: np.ndarray, threshold: float, min_w
             pa.array(h1.view(np.int64)),
             pa.array(h2.view(np.int64)),
             pa.array(n, pa.int32()),
-            pa.array(maps[pick].view(np.int64)),
+            pa.array(maps[0, pick].view(np.int64)),
+            pa.array(maps[1, pick].view(np.int64)),
             pa.array(light, pa.int32()),
             pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(words.view(np.int64))),
         ],
-        names=["d", "th", "line", "h1", "h2", "size", "bits", "light", "prefix"],
+        names=["d", "th", "line", "h1", "h2", "size", "bits", "bits2", "light", "prefix"],
     )
 
 
-def _pass(i, j, size, pos, bits, threshold):
+def _pass(i, j, size, pos, bits, bits2, threshold):
     """Which pairs (places i, j of a bucket's rows) may be similar."""
     a, b = size[i], size[j]
     small, large = np.minimum(a, b), np.maximum(a, b)
@@ -171,7 +174,9 @@ def _pass(i, j, size, pos, bits, threshold):
     ok &= p < small - np.ceil(2 * threshold / (1 + threshold) * small - 1e-9) + 1
     alpha = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
     ok &= 1 + np.minimum(a - pos[i], b - pos[j]) - 1 >= alpha
-    ok &= np.bitwise_count(bits[i] ^ bits[j]) <= a + b - 2 * alpha
+    k = np.flatnonzero(ok)
+    i, j = i[k], j[k]
+    ok[k] = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) + np.bitwise_count(bits2[i] ^ bits2[j]) <= (a + b - 2 * alpha)[k]
     return ok
 
 
@@ -180,9 +185,9 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float, earliest: int
     later set has further candidates in the bucket. ``role``: 1 may be the earlier, 2 the later, 3 either."""
 
     def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = {c: t.column(c).to_numpy() for c in ("word", "p", "q", "sp", "bits", "role", "more")}
+        col = {c: t.column(c).to_numpy() for c in ("word", "p", "q", "sp", "bits", "bits2", "role", "more")}
         size, pos = col["sp"] >> 32, col["sp"] & 0xFFFFFFFF
-        bits, role = col["bits"].view(U), col["role"]
+        bits, bits2, role = col["bits"].view(U), col["bits2"].view(U), col["role"]
         n = len(size)
         new = np.ones(n, bool)
         new[1:] = (np.diff(col["word"]) != 0) | (np.diff(col["p"]) != 0) | (np.diff(col["q"]) != 0)
@@ -198,7 +203,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float, earliest: int
             live = live[live + step < end[live]]
             j = live + step
             i = live[(role[live] & 1 > 0) & (role[j] & 2 > 0)]
-            ok = _pass(i, i + step, size, pos, bits, threshold)
+            ok = _pass(i, i + step, size, pos, bits, bits2, threshold)
             earlier.append(i[ok])
             later.append(i[ok] + step)
         for s, m in zip(start[length > 96].tolist(), length[length > 96].tolist(), strict=True):
@@ -210,7 +215,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float, earliest: int
                 j = np.repeat(r, len(left))
                 ahead = i < j
                 i, j = i[ahead], j[ahead]
-                ok = _pass(i, j, size, pos, bits, threshold)
+                ok = _pass(i, j, size, pos, bits, bits2, threshold)
                 earlier.append(i[ok])
                 later.append(j[ok])
         if not later or not sum(map(len, later)):
@@ -251,19 +256,25 @@ _PAIR = "bd long, blo long, ad long, alo long, word long, more boolean"
 def _meet(rows: DataFrame, threshold: float, earliest: int | None) -> DataFrame:
     width = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ("word", "p", "q", "d", "lo")
-    return rows.select(*order, "sp", "bits", "role", "more").repartition(width, "word", "p", "q").sortWithinPartitions(*order).mapInArrow(partial(_compare, threshold=threshold, earliest=earliest), _PAIR)
+    return rows.select(*order, "sp", "bits", "bits2", "role", "more").repartition(width, "word", "p", "q").sortWithinPartitions(*order).mapInArrow(partial(_compare, threshold=threshold, earliest=earliest), _PAIR)
 
 
 def _posted(sets: DataFrame) -> DataFrame:
     """A row for each word of each set's prefix."""
-    one = sets.select("d", "lo", "size", "bits", "light", F.posexplode("prefix").alias("pos", "word"))
-    return one.select("word", "d", "lo", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("sp"), "bits", (F.col("pos") >= F.col("light")).alias("heavy"))
+    one = sets.select("d", "lo", "size", "bits", "bits2", "light", F.posexplode("prefix").alias("pos", "word"))
+    return one.select("word", "d", "lo", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("sp"), "bits", "bits2", (F.col("pos") >= F.col("light")).alias("heavy"))
 
 
 def _flat(rows: DataFrame, role=None) -> DataFrame:
     return rows.withColumns({"p": F.lit(0), "q": F.lit(0), "role": F.lit(3) if role is None else role, "more": F.lit(False)})
 
 
+def _small(df: DataFrame, weight=None, most: int = 1_000_000) -> DataFrame:
+    """``df``, marked to be sent to all tasks if it is proved small: ``most`` rows, or of its rows' summed weights."""
+    n = df.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most else df
+
+
 def _first_round(sets: DataFrame, crowded: DataFrame | None, threshold: float, size: Sizes) -> DataFrame:
     posts = _posted(sets)
     if crowded is None:
@@ -277,14 +288,14 @@ def _first_round(sets: DataFrame, crowded: DataFrame | None, threshold: float, s
     leads = many.withColumn("r", part).where(F.col("r") <= size.leads).withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where(F.col("r") <= size.leads)
     own = many.withColumns({"p": F.pmod(F.xxhash64("d", "lo"), F.col("blocks")).cast("int"), "q": F.lit(0), "role": F.lit(2), "more": F.lit(True)})
     lead = leads.withColumns({"p": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("int"), "q": F.lit(0), "role": F.lit(1), "more": F.lit(False)})
-    names = ["word", "p", "q", "d", "lo", "sp", "bits", "role", "more"]
+    names = ["word", "p", "q", "d", "lo", "sp", "bits", "bits2", "role", "more"]
     return out.unionByName(_meet(own.select(*names).unionByName(lead.select(*names)), threshold, size.earliest))
 
 
 def _second_round(sets: DataFrame, crowded: DataFrame | None, waiting: DataFrame, threshold: float, size: Sizes) -> DataFrame:
     """All candidates of the waiting sets (word, d, lo)."""
-    posts = _posted(sets).join(waiting.select("word").distinct(), "word", "left_semi")
-    posts = posts.join(waiting.withColumn("w", F.lit(True)), ["word", "d", "lo"], "left")
+    posts = _posted(sets).join(_small(materialise(waiting.select("word").distinct(), "line-words")), "word", "left_semi")
+    posts = posts.join(_small(waiting.withColumn("w", F.lit(True))), ["word", "d", "lo"], "left")
     role = F.when(F.col("w"), 3).otherwise(1)
     few = posts if crowded is None else posts.join(F.broadcast(crowded.select("word")), "word", "left_anti")
     out = _meet(_flat(few, role), threshold, None)
@@ -296,7 +307,7 @@ def _second_round(sets: DataFrame, crowded: DataFrame | None, waiting: DataFrame
     hash_ = F.xxhash64("d", "lo")
     left = many.where("w").withColumns({"p": F.pmod(hash_, F.col("np")).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("int"), "role": F.lit(2), "more": F.lit(False)})
     right = many.withColumns({"p": F.explode(F.sequence(F.lit(0), F.col("np") - 1)).cast("int"), "q": F.pmod(hash_, F.col("blocks")).cast("int"), "role": F.lit(1), "more": F.lit(False)})
-    names = ["word", "p", "q", "d", "lo", "sp", "bits", "role", "more"]
+    names = ["word", "p", "q", "d", "lo", "sp", "bits", "bits2", "role", "more"]
     return out.unionByName(_meet(left.select(*names).unionByName(right.select(*names)), threshold, None))
 
 
@@ -348,7 +359,7 @@ def removed_lines(docs: DataFrame, text: str, key: str, threshold: float, min_wo
     rows = keyed.select(F.col("__d").alias("d"), F.col("__th").alias("th"), full.alias("t"))
 
     counts = rarity(rows, "t")
-    schema = "d long, th long, line int, h1 long, h2 long, size int, bits long, light int, prefix array<long>"
+    schema = "d long, th long, line int, h1 long, h2 long, size int, bits long, bits2 long, light int, prefix array<long>"
     lines = materialise(arrow_map(rows, partial(_describe, counts=counts, threshold=threshold, min_words=min_words, crowd=size.crowd), schema), "lines")
     first = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("d", "lo"))
     sets = lines.withColumn("lo", _place(salted)).withColumn("r", first).where("r = 1").drop("r")
@@ -365,6 +376,7 @@ def removed_lines(docs: DataFrame, text: str, key: str, threshold: float, min_wo
         """(d, lo) of the later sets of those pairs whose words agree enough."""
         ids = pairs.select(F.col("bd").alias("d"), F.col("blo").alias("lo")).union(pairs.select("ad", "alo")).distinct()
         asked = where.join(ids, ["d", "lo"]).groupBy("d", "th").agg(F.collect_list("line").alias("lines"))
+        asked = _small(materialise(asked, "line-asked"), F.size("lines"))
         found = rows.join(asked, ["d", "th"]).dropDuplicates(["d", "th"]) if salted else rows.join(asked, ["d", "th"])
         words = arrow_map(found.select("d", "th", "lines", "t"), _words_of_lines, "d long, th long, line int, words binary")
         words = materialise(words.withColumn("lo", _place(salted)).select("d", "lo", "words"), "line-words")
@@ -391,17 +403,28 @@ def removed_lines(docs: DataFrame, text: str, key: str, threshold: float, min_wo
     kept = sets.select("h1", "h2", F.col("d").alias("sd"), F.col("lo").alias("slo")).join(gone.select(F.col("d").alias("sd"), F.col("lo").alias("slo"), F.lit(True).alias("gone")), ["sd", "slo"], "left")
     out = lines.select("d", "th", "line", "h1", "h2").withColumn("lo", _place(salted)).join(kept, ["h1", "h2"]).where("gone or d <> sd or lo <> slo")
     out = out.groupBy("d", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    return keyed, out
+    return keyed, materialise(out, "line-removed")
+
+
+def _cut(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Take the removed lines (the last column) out of the text (column ``at``)."""
+    gone = batch.column(batch.num_columns - 1)
+    rows = np.flatnonzero(np.asarray(gone.is_valid()))
+    if len(rows):
+        text = batch.column(at).to_pylist()
+        for r in rows.tolist():
+            drop = set(gone[r].as_py())
+            text[r] = "\n".join(x for k, x in enumerate(text[r].split("\n")) if k not in drop)
+        batch = batch.set_column(at, batch.schema.names[at], pa.array(text, batch.column(at).type))
+    yield batch
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, min_words: int = 5, size: Sizes = Sizes()) -> DataFrame:
     """``docs`` with later matching lines removed from ``text``, and columns n_lines and removed (line numbers from 0)."""
     keyed, gone = removed_lines(docs, text, key, threshold, min_words, size)
-    out = keyed.join(gone, (F.col("__d") == F.col("d")) & (F.col("__th") == F.col("th")), "left")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
-    cut = F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    n = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(parts))
     plain = [c for c in docs.columns if c not in ("n_lines", "removed")]
-    cols = [cut.alias(text) if c == text else F.col(c) for c in plain]
-    return out.select(*cols, n.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    out = keyed.join(_small(gone, F.size("removed")), (F.col("__d") == F.col("d")) & (F.col("__th") == F.col("th")), "left")
+    n = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
+    out = out.select(*plain, n.alias("n_lines"), "removed")
+    out = arrow_map(out, partial(_cut, at=plain.index(text)), out.schema)
+    return out.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
