@@ -14,7 +14,7 @@ MAX_WORDS = 1_000_000
 def fit(rows: DataFrame, min_freq: int = 10, top_k: int = 1000, text: str = "text", label: str = "label") -> DataFrame:
     """(word, weight): log ratio of the smoothed shares in class 1 and class 0, the ``top_k`` largest, positive ones only.
 
-    Smoothing counts all distinct words, also those rarer than ``min_freq``. Ties go by word.
+    Smoothing counts all distinct words, also those rarer than ``min_freq``. Ties (to nine places) go by word.
     """
     one = rows.where(F.col(label).isin(0, 1)).select(F.col(label).alias("y"), F.explode(words(F.col(text), 3)).alias("word"))
     counts = one.groupBy("word").agg(F.count_if(F.col("y") == 0).alias("h"), F.count_if(F.col("y") == 1).alias("a"))
@@ -24,7 +24,7 @@ def fit(rows: DataFrame, min_freq: int = 10, top_k: int = 1000, text: str = "tex
     H, A, V = (float(total[c]) for c in "HAV")
     weight = F.log2(((F.col("a") + 1) / F.lit(A + V)) / ((F.col("h") + 1) / F.lit(H + V)))
     ranked = counts.where(F.col("h") + F.col("a") >= min_freq).select("word", weight.alias("weight"))
-    return ranked.orderBy(F.col("weight").desc(), "word").limit(top_k).where("weight > 0")
+    return ranked.orderBy(F.round("weight", 9).desc(), "word").limit(top_k).where("weight > 0")
 
 
 def score(rows: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
