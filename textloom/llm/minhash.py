@@ -48,7 +48,7 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 def _points(h: np.ndarray, unit: np.ndarray, rate: np.ndarray, low: np.ndarray, weight: np.ndarray, horizon: np.ndarray, sig: np.ndarray) -> None:
     """Let the processes seeded by ``h`` lower the registers of their units, up to each unit's horizon."""
     t = np.zeros(len(h))
-    state = mix(h ^ (rate.astype(U) * U(0x8CB92BA72F3D8DD7)))
+    state = mix(h ^ ((low + rate).astype(U) * U(0x8CB92BA72F3D8DD7)))  # a strip is named by its upper end
     step = 0
     while len(state):
         step += 1
