@@ -124,7 +124,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(word, weight) of a flat JSON object."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,double>"))).toDF("word", "weight")
 
 
