@@ -10,9 +10,10 @@ filled, and further for documents where one isn't, so the signature is exact and
 
 Candidates. Exact copies share one node. Registers are banded (24 bands of 5: a pair of 0.8 is missed once in 14,000).
 In a bucket every member is compared with the bucket's leader, its smallest member; members that end in another component
-than their leader then meet all others of the bucket, block by block: first each names the nearest one of another
-component, and once these links have joined components, all that are still in another one. No pair of a bucket is made a
-row unless its signatures agree enough (four standard deviations below the threshold).
+than their leader then meet all others of the bucket, block by block: first each names the nearest ones of other
+components, and once these links have joined components, all that are still in another one. No pair of a bucket is made
+a row unless its signatures agree enough (four standard deviations below the threshold) and its texts' parity maps, which
+bound the similarity from above, allow it.
 
 Verification counts the shingles of both texts: sum(min)/sum(max) >= threshold. Classes are connected components.
 
@@ -38,6 +39,8 @@ from textloom.session import materialise
 BANDS, ROWS = 24, 5
 M = BANDS * ROWS
 SLACK = 0.15
+MAP = 2048  # bits of a parity map
+NEAREST = 3
 BLOCK = 2048
 
 
@@ -109,11 +112,30 @@ def _sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     code = (mix(sig.view(U)) >> U(48)).astype(np.uint16)
     has = ~np.isinf(sig[:, 0])
     out = [code[i].tobytes() if has[i] else None for i in range(n)]
+    odd = np.bincount(unit * MAP + (mix(h ^ U(0x5851F42D4C957F2D)) % U(MAP)).astype(np.int64), minlength=n * MAP).reshape(n, MAP) & 1
+    bits = np.packbits(odd.astype(np.uint8), axis=1)
+    size = np.bincount(unit, minlength=n).astype(np.int32)
+    # One value holds all that is compared: the codes, the number of shingles and the parity map.
+    out = [x and x + size[i].tobytes() + bits[i].tobytes() for i, x in enumerate(out)]
     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["doc", "digest", "sig"])
 
 
+def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Register codes, numbers of shingles and parity maps."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * M + 4 + MAP // 8)
+    cut = lambda a, b, kind: np.ascontiguousarray(raw[:, a:b]).view(kind)
+    return cut(0, 2 * M, np.uint16), cut(2 * M, 2 * M + 4, np.int32)[:, 0].astype(np.int64), cut(2 * M + 4, raw.shape[1], U)
+
+
 def _codes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, M)
+    return _parts(column)[0]
+
+
+def _may(size_a, map_a, size_b, map_b, threshold: float) -> np.ndarray:
+    """Which pairs may reach the threshold. Similar multisets differ in (1 - t) / (1 + t) of their elements at most, and
+    their parity maps in no more bits than that, so no similar pair is dropped."""
+    most = (1 - threshold) / (1 + threshold) * (size_a + size_b) + 1e-6
+    return np.bitwise_count(map_a ^ map_b).sum(1) <= most
 
 
 def _band_hashes(code: np.ndarray) -> np.ndarray:
@@ -129,21 +151,23 @@ def _bands(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1)), batch.column(0).take(pa.array(np.repeat(np.arange(len(h)), BANDS)))], names=["bucket", "node"])
 
 
-def _near(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
-    ok = (_codes(batch.column(2)) == _codes(batch.column(3))).sum(1) >= least
-    yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+def _near(batch: pa.RecordBatch, least: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    (a, na, ma), (b, nb, mb) = _parts(batch.column(2)), _parts(batch.column(3))
+    ok = pa.array(((a == b).sum(1) >= least) & _may(na, ma, nb, mb, threshold))
+    yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
 
-def _within(batches: Iterator[pa.RecordBatch], least: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+def _within(batches: Iterator[pa.RecordBatch], least: int, threshold: float, nearest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of a block (bucket, part of the open members, part of all members): agreeing, not of one component; for
-    ``nearest`` only each open member's best one."""
+    ``nearest`` only each open member's best ones, of different components."""
     rows: list[pa.RecordBatch] = []
 
     def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         left = np.flatnonzero(t.column("side").to_numpy() == 0)
         right = np.flatnonzero(t.column("side").to_numpy() == 1)
-        code, comp = _codes(t.column("sig").combine_chunks()), t.column("comp").to_numpy()
+        code, count, maps = _parts(t.column("sig").combine_chunks())
+        comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
         node, bucket = t.column("node").combine_chunks(), t.column("bucket")[0].as_py()
         for s in range(0, len(left), 64):
             a = left[s : s + 64]
@@ -152,11 +176,16 @@ def _within(batches: Iterator[pa.RecordBatch], least: int, nearest: bool) -> Ite
                 same += code[a, r][:, None] == code[right, r][None, :]
             ok = (same >= least) & (comp[a][:, None] != comp[right][None, :])
             i, j = np.nonzero(ok)
+            far = ~_may(count[a[i]], maps[a[i]], count[right[j]], maps[right[j]], threshold)
+            ok[i[far], j[far]] = False
+            i, j = i[~far], j[~far]
             if nearest and len(i):
-                best = np.where(ok, same, -1).argmax(1)
-                i = np.flatnonzero(ok.any(1))
-                x, y = node.take(pa.array(a[i])), node.take(pa.array(right[best[i]]))
-                yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
+                for _ in range(NEAREST):  # the best one of each of the nearest components
+                    best = np.where(ok, same, -1).argmax(1)
+                    i = np.flatnonzero(ok.any(1))
+                    x, y = node.take(pa.array(a[i])), node.take(pa.array(right[best[i]]))
+                    yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
+                    ok &= comp[right][None, :] != comp[right[best]][:, None]
             elif len(i):
                 i, j = a[i], right[j]
                 first = (_band_hashes(code[i]) == _band_hashes(code[j])).argmax(1)  # each pair from its first common band only
@@ -217,7 +246,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         return materialise(arrow_map(wide.select("a", "b", "ta", "tb"), partial(_verify, threshold=threshold), f"a {kind}, b {kind}", 1_000_000), "links")
 
     pairs = multi.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    pairs = materialise(arrow_map(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), partial(_near, least=least), f"a {kind}, b {kind}"), "pairs")
+    pairs = materialise(arrow_map(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), partial(_near, least=least, threshold=threshold), f"a {kind}, b {kind}"), "pairs")
     tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     comp = materialise(connected_components(verified(pairs), "a", "b"), "components")
 
@@ -238,7 +267,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         right = some.select("bucket", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("p"), F.pmod(part, F.col("nq")).cast("int").alias("q"), F.lit(1).alias("side"), "node", "sig", "comp")
         width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         blocks = left.unionByName(right).repartition(width, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-        more = blocks.mapInArrow(partial(_within, least=least, nearest=nearest), f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        more = blocks.mapInArrow(partial(_within, least=least, threshold=threshold, nearest=nearest), f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         more = materialise(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(more)
         links = verified(more)
