@@ -287,7 +287,7 @@ def _first_round(sets: DataFrame, crowded: DataFrame | None, threshold: float, s
     part = F.row_number().over(Window.partitionBy("word", F.pmod(F.xxhash64("d", "lo"), F.lit(64))).orderBy(*order))
     leads = many.withColumn("r", part).where(F.col("r") <= size.leads).withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where(F.col("r") <= size.leads)
     own = many.withColumns({"p": F.pmod(F.xxhash64("d", "lo"), F.col("blocks")).cast("int"), "q": F.lit(0), "role": F.lit(2), "more": F.lit(True)})
-    lead = leads.withColumns({"p": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("int"), "q": F.lit(0), "role": F.lit(1), "more": F.lit(False)})
+    lead = leads.withColumns({"p": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "q": F.lit(0), "role": F.lit(1), "more": F.lit(False)})
     names = ["word", "p", "q", "d", "lo", "sp", "bits", "bits2", "role", "more"]
     return out.unionByName(_meet(own.select(*names).unionByName(lead.select(*names)), threshold, size.earliest))
 
@@ -305,8 +305,8 @@ def _second_round(sets: DataFrame, crowded: DataFrame | None, waiting: DataFrame
     n = many.where("w").groupBy("word").agg(F.ceil(F.count(F.lit(1)) / size.crowd).cast("int").alias("np"))
     many = many.join(n, "word")
     hash_ = F.xxhash64("d", "lo")
-    left = many.where("w").withColumns({"p": F.pmod(hash_, F.col("np")).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("int"), "role": F.lit(2), "more": F.lit(False)})
-    right = many.withColumns({"p": F.explode(F.sequence(F.lit(0), F.col("np") - 1)).cast("int"), "q": F.pmod(hash_, F.col("blocks")).cast("int"), "role": F.lit(1), "more": F.lit(False)})
+    left = many.where("w").withColumns({"p": F.pmod(hash_, F.col("np")).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "role": F.lit(2), "more": F.lit(False)})
+    right = many.withColumns({"p": F.explode(F.sequence(F.lit(0), F.col("np") - 1)), "q": F.pmod(hash_, F.col("blocks")).cast("int"), "role": F.lit(1), "more": F.lit(False)})
     names = ["word", "p", "q", "d", "lo", "sp", "bits", "bits2", "role", "more"]
     return out.unionByName(_meet(left.select(*names).unionByName(right.select(*names)), threshold, None))
 
@@ -423,8 +423,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
     """``docs`` with later matching lines removed from ``text``, and columns n_lines and removed (line numbers from 0)."""
     keyed, gone = removed_lines(docs, text, key, threshold, min_words, size)
     plain = [c for c in docs.columns if c not in ("n_lines", "removed")]
-    out = keyed.join(_small(gone, F.size("removed")), (F.col("__d") == F.col("d")) & (F.col("__th") == F.col("th")), "left")
+    side = _small(gone.select(F.col("d").alias("__gd"), F.col("th").alias("__gt"), F.col("removed").alias("__gone")), F.size("__gone"))
+    out = keyed.join(side, (F.col("__d") == F.col("__gd")) & (F.col("__th") == F.col("__gt")), "left")
     n = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
-    out = out.select(*plain, n.alias("n_lines"), "removed")
+    out = out.select(*plain, n.alias("n_lines"), F.col("__gone").alias("removed"))
     out = arrow_map(out, partial(_cut, at=plain.index(text)), out.schema)
     return out.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
