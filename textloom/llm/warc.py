@@ -6,9 +6,9 @@ so any file system that Spark writes to will do and no Python touches the payloa
 
 Reading. The text source splits the files at the magic ``WARC/1.``, wherever it stands, also within payloads. Each task
 turns its block's pieces into candidates (a piece that parses as a header) with the offset of the successor that the
-header's length names, and condenses them: where does a candidate's chain leave the block? Pointer jumping over the chains' exits, from offset 0 of each file, finds
-the offset at which the true chain enters each block, in rounds that grow with the logarithm of a file's blocks. A
-second scan walks the true chain only; magic elsewhere is payload. A record that crosses a block's end comes out as
+header's length names, and condenses them: where does a candidate's chain leave the block? Pointer jumping over the
+chains' exits, from offset 0 of each file, finds the offset at which the true chain enters each block, in rounds that
+grow with the logarithm of a file's blocks. A second scan walks the true chain only; magic elsewhere is payload. A record that crosses a block's end comes out as
 fragments, which are put together by record.
 
 Defined cases: a null payload is empty; a null key is written and read back as null; rows with equal payload and the
@@ -38,6 +38,7 @@ END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 URN, NULL_URN = "urn:record:", "urn:record-null:"
 MAX_BLOCKS = 200_000
+MAX_DIGESTS = 500_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -56,7 +57,19 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("p"))
     rows = rows.withColumn("d", base32_sha1(F.col("p").cast("binary")))
     groups = rows.groupBy("d").agg(F.max("k").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("d").alias("gd"), "top")
-    rows = rows.join(groups, F.col("d") == F.col("gd"), "left")
+    groups = materialise(groups, "revisited")
+    # Few repeated digests go to the tasks, in a few passes if need be, so payloads aren't shuffled; many are joined by key.
+    passes = -(-groups.count() // MAX_DIGESTS) or 1
+    if passes > 4:
+        _write(rows.join(groups, F.col("d") == F.col("gd"), "left"), path, date)
+        return
+    for k in range(passes):
+        part = lambda c, k=k: F.pmod(F.xxhash64(c), F.lit(passes)) == k
+        _write(rows.where(part("d")).join(F.broadcast(groups.where(part("gd"))), F.col("d") == F.col("gd"), "left"), path, date)
+
+
+def _write(rows: DataFrame, path: str, date: str) -> None:
+    """Records of rows (k, u, p, d, and top: the key of the response if the payload repeats)."""
     revisit = F.col("top").isNotNull() & ~F.col("k").eqNullSafe(F.col("top"))
     size = F.octet_length("p")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -75,7 +88,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.lit(END + HTTP),
         F.when(revisit, F.lit("")).otherwise(F.col("p")),
     )
-    rows.select(head.alias("value")).write.option("lineSep", END).text(path)
+    rows.select(head.alias("value")).write.mode("append").option("lineSep", END).text(path)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
