@@ -354,12 +354,16 @@ def pilot_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of the kept rows as a sample to join back."""
-    kept = _kept(spark, sf_dir).where(hash_bucket(F.col("record_id"), 42) < 10)
-    return materialise(kept.withColumns({"group_id": F.col("source_id"), "split": F.lit("train")}), "assignments")
+    """The kept rows as assignments to join back."""
+    return materialise(_kept(spark, sf_dir).withColumns({"group_id": F.col("source_id"), "split": F.lit("train")}), "assignments")
 
 
-_SAMPLE = _KEPT + ", sample AS (SELECT * FROM kept WHERE CAST('0x' || substr(sha256('42:' || record_id), 1, 8) AS BIGINT) % 100 < 10)"
+def _labelled_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that holds the labelled documents only, so that some ids are missing."""
+    return raw_rows(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+_SAMPLE = _KEPT + ", sample AS (SELECT * FROM kept)"
 
 
 @query("WITH " + _SAMPLE + " SELECT record_id, label, sample.source_id AS group_id, 'train' AS split, raw.model AS model, length(generation)::INT AS text_length, sha256(generation) AS text_hash FROM sample JOIN raw ON raw.id = sample.record_id")
@@ -368,10 +372,9 @@ def pilot_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pilot_join.finished(joined).select("record_id", "label", "group_id", "split", "model", "text_length", "text_hash")
 
 
-@query("WITH " + _SAMPLE + " SELECT record_id FROM sample WHERE CAST(substr(record_id, 5) AS BIGINT) % 7 = 0")
+@query("WITH " + _SAMPLE + " SELECT record_id FROM sample WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def pilot_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_rows(spark, sf_dir).where("doc_id % 7 <> 0")  # a source that lacks some of the ids, so that there is something to find
-    return pilot_join.missing_ids(raw, _assignments(spark, sf_dir))
+    return pilot_join.missing_ids(_labelled_raw(spark, sf_dir), _assignments(spark, sf_dir))
 
 
 @query("WITH " + _SAMPLE + """, j AS (SELECT raw.attack AS a, sample.attack AS b FROM sample JOIN raw ON raw.id = sample.record_id)
@@ -380,11 +383,10 @@ def pilot_join_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pilot_join.mismatches(pilot_join.join_texts(raw_rows(spark, sf_dir), _assignments(spark, sf_dir)))
 
 
-@query("WITH " + _SAMPLE + " SELECT record_id, 'assignments' AS only_in FROM sample WHERE CAST(substr(record_id, 5) AS BIGINT) % 5 = 0")
+@query("WITH " + _SAMPLE + " SELECT coalesce(record_id, id) AS record_id, CASE WHEN id IS NULL THEN 'assignments' ELSE 'ids' END AS only_in FROM sample FULL JOIN (SELECT id FROM raw WHERE doc_id IN (SELECT doc_id FROM labels)) r ON r.id = record_id WHERE id IS NULL OR record_id IS NULL")
 def pilot_id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _assignments(spark, sf_dir)
-    some = rows.where(F.substring("record_id", 5, 8).cast("long") % 5 != 0)  # an id list that lacks some of them
-    return pilot_join.id_sets_differ(some.select("record_id"), rows)
+    ids = _labelled_raw(spark, sf_dir).select(F.col("id").alias("record_id"))
+    return pilot_join.id_sets_differ(ids, _assignments(spark, sf_dir))
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
