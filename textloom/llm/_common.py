@@ -64,6 +64,13 @@ def slices(batch: pa.RecordBatch, limit: int = 6_000_000) -> Iterator[pa.RecordB
         yield batch.slice(at)
 
 
+def small(df: DataFrame, weight=None, most: int = 1_000_000) -> DataFrame:
+    """``df``, marked to be sent to all tasks if it is proved small: ``most`` rows, or of its rows' summed weights. Give
+    a frame that is written already, as it is counted first."""
+    n = df.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most else df
+
+
 def offsets_of(a: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(a.type) or pa.types.is_large_binary(a.type) else np.int32
     return np.frombuffer(a.buffers()[1], kind)[a.offset : a.offset + len(a) + 1].astype(np.int64)

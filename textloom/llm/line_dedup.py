@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from textloom.llm._common import arrow_map, ship, slices
+from textloom.llm._common import arrow_map, ship, slices, small
 from textloom.llm.words import U, mix, text_bytes, words_of
 from textloom.session import discard, materialise
 
@@ -269,12 +269,6 @@ def _flat(rows: DataFrame, role=None) -> DataFrame:
     return rows.withColumns({"p": F.lit(0), "q": F.lit(0), "role": F.lit(3) if role is None else role, "more": F.lit(False)})
 
 
-def _small(df: DataFrame, weight=None, most: int = 1_000_000) -> DataFrame:
-    """``df``, marked to be sent to all tasks if it is proved small: ``most`` rows, or of its rows' summed weights."""
-    n = df.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight + 1), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= most else df
-
-
 def _first_round(sets: DataFrame, crowded: DataFrame | None, threshold: float, size: Sizes) -> DataFrame:
     posts = _posted(sets)
     if crowded is None:
@@ -294,8 +288,8 @@ def _first_round(sets: DataFrame, crowded: DataFrame | None, threshold: float, s
 
 def _second_round(sets: DataFrame, crowded: DataFrame | None, waiting: DataFrame, threshold: float, size: Sizes) -> DataFrame:
     """All candidates of the waiting sets (word, d, lo)."""
-    posts = _posted(sets).join(_small(materialise(waiting.select("word").distinct(), "line-words")), "word", "left_semi")
-    posts = posts.join(_small(waiting.withColumn("w", F.lit(True))), ["word", "d", "lo"], "left")
+    posts = _posted(sets).join(small(materialise(waiting.select("word").distinct(), "line-words")), "word", "left_semi")
+    posts = posts.join(small(waiting.withColumn("w", F.lit(True))), ["word", "d", "lo"], "left")
     role = F.when(F.col("w"), 3).otherwise(1)
     few = posts if crowded is None else posts.join(F.broadcast(crowded.select("word")), "word", "left_anti")
     out = _meet(_flat(few, role), threshold, None)
@@ -376,7 +370,7 @@ def removed_lines(docs: DataFrame, text: str, key: str, threshold: float, min_wo
         """(d, lo) of the later sets of those pairs whose words agree enough."""
         ids = pairs.select(F.col("bd").alias("d"), F.col("blo").alias("lo")).union(pairs.select("ad", "alo")).distinct()
         asked = where.join(ids, ["d", "lo"]).groupBy("d", "th").agg(F.collect_list("line").alias("lines"))
-        asked = _small(materialise(asked, "line-asked"), F.size("lines"))
+        asked = small(materialise(asked, "line-asked"), F.size("lines"))
         found = rows.join(asked, ["d", "th"]).dropDuplicates(["d", "th"]) if salted else rows.join(asked, ["d", "th"])
         words = arrow_map(found.select("d", "th", "lines", "t"), _words_of_lines, "d long, th long, line int, words binary")
         words = materialise(words.withColumn("lo", _place(salted)).select("d", "lo", "words"), "line-words")
@@ -423,7 +417,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
     """``docs`` with later matching lines removed from ``text``, and columns n_lines and removed (line numbers from 0)."""
     keyed, gone = removed_lines(docs, text, key, threshold, min_words, size)
     plain = [c for c in docs.columns if c not in ("n_lines", "removed")]
-    side = _small(gone.select(F.col("d").alias("__gd"), F.col("th").alias("__gt"), F.col("removed").alias("__gone")), F.size("__gone"))
+    side = small(gone.select(F.col("d").alias("__gd"), F.col("th").alias("__gt"), F.col("removed").alias("__gone")), F.size("__gone"))
     out = keyed.join(side, (F.col("__d") == F.col("__gd")) & (F.col("__th") == F.col("__gt")), "left")
     n = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
     out = out.select(*plain, n.alias("n_lines"), F.col("__gone").alias("removed"))

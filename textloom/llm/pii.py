@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm._common import small
 from textloom.session import materialise
 
 _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -241,10 +242,9 @@ def assign(parts: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"replacements still collide after {ATTEMPTS} attempts")
 
 
-def dictionary(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(raw, kind, surrogate) of every distinct entity."""
-    raws = docs.select(F.explode(entities(F.col(text))).alias("raw")).distinct()
-    raws = materialise(raws.withColumn("kind", kind_of(F.col("raw"))), "pii-raw")
+def dictionary(raws: DataFrame, key: str) -> DataFrame:
+    """(raw, kind, surrogate) of the distinct entities ``raw``."""
+    raws = materialise(raws.select("raw").distinct().withColumn("kind", kind_of(F.col("raw"))), "pii-raw")
     parts = raws.select("raw", F.col("kind").alias("whole"), F.explode(components(F.col("kind"), F.col("raw"))).alias("c")).select("raw", "whole", "c.*")
     parts = materialise(parts, "pii-split")
     cores = assign(parts, key)
@@ -253,18 +253,20 @@ def dictionary(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def replace(docs: DataFrame, text: str = "text", key: str = "surrogates") -> DataFrame:
-    """``docs`` with surrogates in ``text`` and a column n_entities; ``key`` is the secret of the replacements."""
-    named = docs.withColumn("__e", entities(F.col(text)))
-    holds = F.size("__e") > 0
-    book = materialise(dictionary(docs, text, key).select("raw", "surrogate"), "pii-dictionary")
-    # Rows of one text share its entities: they are looked up once for each distinct text.
-    asked = docs.select(F.md5(F.col(text).cast("binary")).alias("__id"), F.explode(entities(F.col(text))).alias("raw")).distinct()
-    by_text = asked.join(book, "raw").groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("raw", "surrogate"))).alias("__m"))
-    by_text = materialise(by_text, "pii-by-text")
-    some = named.where(holds).withColumn("__id", F.md5(F.col(text).cast("binary"))).join(by_text, "__id", "left")
-    pieces = F.split(F.col(text), ANY, -1)
+    """``docs`` with surrogates in ``text`` and a column n_entities; ``key`` is the secret of the replacements.
+
+    One pass finds the entities. Rows of one text share them, so they are looked up once for each distinct text that has
+    any; a second pass brings them to the texts and cuts those texts only.
+    """
+    id_ = F.md5(F.col(text).cast("binary"))
+    found = docs.select(id_.alias("id"), entities(F.col(text)).alias("e")).where(F.size("e") > 0)
+    found = materialise(found.groupBy("id").agg(F.first("e").alias("e")), "pii-found")
+    asked = found.select("id", F.explode("e").alias("raw")).distinct()
+    book = materialise(dictionary(asked, key).select("raw", "surrogate"), "pii-dictionary")
+    by_text = asked.join(book, "raw").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("raw", "surrogate"))).alias("__m"))
+    by_text = materialise(found.join(by_text, "id").select(F.col("id").alias("__id"), F.col("e").alias("__e"), "__m"), "pii-by-text")
+    out = docs.join(small(by_text, F.size("__e")), id_ == F.col("__id"), "left")
     swap = lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.col("__m")[F.get(F.col("__e"), i - 1)], p))
-    some = some.withColumn("n_entities", F.size("__e")).withColumn(text, F.array_join(F.transform(pieces, swap), ""))
-    names = [*[c for c in docs.columns if c != "n_entities"], "n_entities"]
-    none = docs.where(F.coalesce(F.size(entities(F.col(text))) == 0, F.lit(True))).withColumn("n_entities", F.lit(0))
-    return some.select(*names).unionByName(none.select(*names))
+    new = F.when(F.col("__id").isNull(), F.col(text)).otherwise(F.array_join(F.transform(F.split(F.col(text), ANY, -1), swap), ""))
+    plain = [c for c in docs.columns if c != "n_entities"]
+    return out.select(*[new.alias(text) if c == text else F.col(c) for c in plain], F.when(F.col("__id").isNull(), 0).otherwise(F.size("__e")).alias("n_entities"))
