@@ -244,7 +244,7 @@ def _predict(batch: pa.RecordBatch, model: Model, penalty: float) -> Iterator[pa
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", penalty: float = 12.0) -> DataFrame:
     """Per row: key, lang_pred, score (the share of the letters' bytes that the language labels), n_langs."""
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs.select(F.col(key).alias("__row"), F.col(text).cast("string").alias("__t")), partial(_predict, model=model, penalty=penalty), f"__row {kind}, lang_pred string, score double, n_langs int", 60_000_000).withColumnRenamed("__row", key)
+    return arrow_map(docs.select(F.col(key).alias("__row"), F.col(text).cast("string").alias("__t")), partial(_predict, model=model, penalty=penalty), f"__row {kind}, lang_pred string, score double, n_langs int", 24_000_000).withColumnRenamed("__row", key)
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -264,4 +264,4 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.4, penal
 
     from pyspark.sql.types import StructType
 
-    return arrow_map(docs, pick, StructType(fields), 60_000_000)
+    return arrow_map(docs, pick, StructType(fields), 24_000_000)
