@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe_codec, decontaminate, langid, line_dedup, minhash, neighbours, pii, quality, token_counts, warc
 from textloom.llm._common import held_out, table
-from textloom.session import shared_dir
+from textloom.session import new_path
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.digests(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/textloom/archives-{uuid.uuid4().hex}")
+    return warc.digests(table(spark, sf_dir, "pages"), new_path(spark, "archives"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
