@@ -25,6 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -133,10 +134,11 @@ def _describe(batch: pa.RecordBatch, counts: np.ndarray, threshold: float, min_w
         return
     begin = at[pick]
     n = size[pick]
-    run1 = np.concatenate([np.zeros(1, U), np.cumsum(mix(h), dtype=U)])
+    mixed = mix(h)
+    run1 = np.concatenate([np.zeros(1, U), np.cumsum(mixed, dtype=U)])
     run2 = np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), dtype=U)])
     h1, h2 = run1[begin + n] - run1[begin], run2[begin + n] - run2[begin]
-    place = mix(h) & U(127)
+    place = mixed & U(127)
     flag = U(1) << (place & U(63))
     nonempty = np.flatnonzero(size > 0)
     maps = np.zeros((2, len(size)), U)
@@ -182,10 +184,12 @@ def _pass(i, j, size, pos, bits, bits2, threshold):
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float, earliest: int | None) -> Iterator[pa.RecordBatch]:
     """Candidates of rows sorted by bucket (columns 0 to 2) and id (columns 3 and 4): later, earlier and whether the
-    later set has further candidates in the bucket. ``role``: 1 may be the earlier, 2 the later, 3 either."""
+    later set has further candidates in the bucket. ``role``: 1 may be the earlier, 2 the later, 3 (if absent) either."""
 
     def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = {c: t.column(c).to_numpy() for c in ("word", "p", "q", "sp", "bits", "bits2", "role", "more")}
+        col = {c: t.column(c).to_numpy() for c in t.column_names}
+        for c, value in (("p", 0), ("q", 0), ("role", 3), ("more", False)):
+            col.setdefault(c, np.full(t.num_rows, value))
         size, pos = col["sp"] >> 32, col["sp"] & 0xFFFFFFFF
         bits, bits2, role = col["bits"].view(U), col["bits2"].view(U), col["role"]
         n = len(size)
@@ -240,7 +244,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float, earliest: int
         if sum(t.num_rows for t in held) < BATCH:
             continue
         t = pa.concat_tables(held).combine_chunks()
-        key = [t.column(c).to_numpy() for c in ("word", "p", "q")]
+        key = [t.column(c).to_numpy() for c in ("word", "p", "q") if c in t.column_names]
         same = np.logical_and.reduce([k == k[-1] for k in key])
         cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # where the last bucket begins
         if cut:
@@ -255,8 +259,10 @@ _PAIR = "bd long, blo long, ad long, alo long, word long, more boolean"
 
 def _meet(rows: DataFrame, threshold: float, earliest: int | None) -> DataFrame:
     width = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ("word", "p", "q", "d", "lo")
-    return rows.select(*order, "sp", "bits", "bits2", "role", "more").repartition(width, "word", "p", "q").sortWithinPartitions(*order).mapInArrow(partial(_compare, threshold=threshold, earliest=earliest), _PAIR)
+    bucket = [c for c in ("word", "p", "q") if c in rows.columns]
+    order = (*bucket, "d", "lo")
+    more = [c for c in ("role", "more") if c in rows.columns]
+    return rows.select(*order, "sp", "bits", "bits2", *more).repartition(width, *bucket).sortWithinPartitions(*order).mapInArrow(partial(_compare, threshold=threshold, earliest=earliest), _PAIR)
 
 
 def _posted(sets: DataFrame) -> DataFrame:
@@ -265,16 +271,12 @@ def _posted(sets: DataFrame) -> DataFrame:
     return one.select("word", "d", "lo", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("sp"), "bits", "bits2", (F.col("pos") >= F.col("light")).alias("heavy"))
 
 
-def _flat(rows: DataFrame, role=None) -> DataFrame:
-    return rows.withColumns({"p": F.lit(0), "q": F.lit(0), "role": F.lit(3) if role is None else role, "more": F.lit(False)})
-
-
 def _first_round(sets: DataFrame, crowded: DataFrame | None, threshold: float, size: Sizes) -> DataFrame:
     posts = _posted(sets)
     if crowded is None:
-        return _meet(_flat(posts), threshold, size.earliest)
+        return _meet(posts, threshold, size.earliest)
     few = posts.join(F.broadcast(crowded.select("word")), "word", "left_anti")
-    out = _meet(_flat(few), threshold, size.earliest)
+    out = _meet(few, threshold, size.earliest)
     many = posts.where("heavy").join(F.broadcast(crowded), "word")
     # A bucket's first members: the least of each of 64 parts, then the least of those.
     order = (F.col("d"), F.col("lo"))
@@ -292,7 +294,7 @@ def _second_round(sets: DataFrame, crowded: DataFrame | None, waiting: DataFrame
     posts = posts.join(small(waiting.withColumn("w", F.lit(True))), ["word", "d", "lo"], "left")
     role = F.when(F.col("w"), 3).otherwise(1)
     few = posts if crowded is None else posts.join(F.broadcast(crowded.select("word")), "word", "left_anti")
-    out = _meet(_flat(few, role), threshold, None)
+    out = _meet(few.withColumn("role", role), threshold, None)
     if crowded is None:
         return out
     many = posts.join(F.broadcast(crowded), "word")
@@ -405,11 +407,11 @@ def _cut(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
     gone = batch.column(batch.num_columns - 1)
     rows = np.flatnonzero(np.asarray(gone.is_valid()))
     if len(rows):
-        text = batch.column(at).to_pylist()
-        for r in rows.tolist():
-            drop = set(gone[r].as_py())
-            text[r] = "\n".join(x for k, x in enumerate(text[r].split("\n")) if k not in drop)
-        batch = batch.set_column(at, batch.schema.names[at], pa.array(text, batch.column(at).type))
+        where = pa.array(rows)
+        texts, drops = batch.column(at).take(where).to_pylist(), gone.take(where).to_pylist()
+        new = ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in d) for t, d in zip(texts, map(set, drops), strict=True)]
+        cut = pc.replace_with_mask(batch.column(at), gone.is_valid(), pa.array(new, batch.column(at).type))
+        batch = batch.set_column(at, batch.schema.names[at], cut)
     yield batch
 
 
