@@ -12,12 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 _PKG = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so that workers import it by name wherever they run."""
     sc = spark.sparkContext
+    # Arrow batches of whole texts shall take bounded memory on both sides; a smaller setting of the session stays.
+    now = spark.conf.get(_BATCH).rstrip("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     if getattr(sc, "_textloom_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="textloom-pkg-"), "textloom_pkg.zip")
@@ -31,7 +37,7 @@ def ship(spark: SparkSession) -> None:
     sc._textloom_shipped = True
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema, limit: int = 2_000_000) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema, limit: int = 1_000_000) -> DataFrame:
     """mapInArrow with a function of one batch, sliced so that a batch holds a bounded number of bytes."""
     ship(df.sparkSession)
 

@@ -103,7 +103,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     def part(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for piece in slices(batch, 2_000_000):
+            for piece in slices(batch, 1_000_000):
                 _count(piece, total)
         for name, a in total.items():
             i = np.flatnonzero(a)
@@ -198,7 +198,7 @@ def _scores(column: pa.Array, model: Model):
 def label_words(column: pa.Array, model: Model, penalty: float):
     """Of the words with a letter: the start, end, weight in bytes and label of each, and where each unit's begin."""
     parts, hard, at = [], [], 0
-    for piece in slices(pa.RecordBatch.from_arrays([column], names=["t"]), 2_000_000):
+    for piece in slices(pa.RecordBatch.from_arrays([column], names=["t"]), 1_000_000):
         w, known, ptr, s, size = _scores(piece.column(0), model)
         label = np.zeros(len(known), np.int64)
         if len(known) and len(model.langs) > 1:

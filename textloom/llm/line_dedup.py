@@ -65,7 +65,7 @@ def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the hash bins, in 64 pieces of 4,096."""
     total = np.zeros(1 << BITS, np.int64)
     for batch in batches:
-        for piece in slices(batch, 4_000_000):
+        for piece in slices(batch, 1_000_000):
             w = words_of(*text_bytes(piece.column(0)))
             total += np.bincount((w.hash >> U(64 - BITS)).astype(np.int64), minlength=1 << BITS)
     if total.any():
