@@ -105,3 +105,12 @@ def test_lines_of_repeated_null_and_text_keys(spark):
     out = sorted(((r["doc_id"], len(r["removed"])) for r in line_dedup.dedup_lines(df).collect()), key=str)
     assert out == sorted([("b", 1), ("a", 1), ("a", 1), ("a", 0), (None, 0)], key=str)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("others", [0, 200])
+def test_a_set_in_both_roles_of_a_block_is_not_its_own_match(others):
+    n = others + 2  # the set as earlier one (role 1), then as later one (role 2), in a light and in a long bucket
+    low = np.array([0, 0, *range(1, others + 1)])
+    col = {"word": np.full(n, 7), "p": np.zeros(n, np.int64), "q": np.zeros(n, np.int64), "d": np.full(n, 3), "lo": low, "sp": np.full(n, 10 << 32), "bits": np.zeros(n, np.int64), "bits2": np.zeros(n, np.int64), "role": np.array([1, *[2] * (n - 1)]), "more": np.zeros(n, bool)}
+    got = [r for b in line_dedup._compare(iter([pa.RecordBatch.from_pydict(col)]), 0.8, None) for r in b.to_pylist()]
+    assert sorted((r["blo"], r["alo"]) for r in got) == [(k, 0) for k in range(1, others + 1)]

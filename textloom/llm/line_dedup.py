@@ -225,6 +225,8 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float, earliest: int
         if not later or not sum(map(len, later)):
             return
         i, j = np.concatenate(earlier), np.concatenate(later)
+        apart = (col["d"][i] != col["d"][j]) | (col["lo"][i] != col["lo"][j])  # a crowded block may hold a set in both roles
+        i, j = i[apart], j[apart]
         order = np.lexsort((i, j))
         i, j = i[order], j[order]
         more = col["more"][j].copy()
