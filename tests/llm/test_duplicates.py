@@ -114,3 +114,25 @@ def test_a_set_in_both_roles_of_a_block_is_not_its_own_match(others):
     col = {"word": np.full(n, 7), "p": np.zeros(n, np.int64), "q": np.zeros(n, np.int64), "d": np.full(n, 3), "lo": low, "sp": np.full(n, 10 << 32), "bits": np.zeros(n, np.int64), "bits2": np.zeros(n, np.int64), "role": np.array([1, *[2] * (n - 1)]), "more": np.zeros(n, bool)}
     got = [r for b in line_dedup._compare(iter([pa.RecordBatch.from_pydict(col)]), 0.8, None) for r in b.to_pylist()]
     assert sorted((r["blo"], r["alo"]) for r in got) == [(k, 0) for k in range(1, others + 1)]
+
+
+@pytest.mark.parametrize("size", [line_dedup.Sizes(), line_dedup.Sizes(8, 3, 1)])
+def test_short_lines_equal_brute_force(spark, size):
+    few = [f"v{k}" for k in range(7)]
+    rows = [(d, "\n".join([" ".join(few[k] for k in RNG.integers(0, 7, RNG.integers(1, 7))) for _ in range(3)] + ["", "---", "All rights reserved."])) for d in range(80)]
+    rows += [(200, "one two three four"), (201, "four three two one zero"), (202, "ภาษาไทย"), (203, "ภาษาไทย"), (204, "zero!"), (205, "Zero")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), size=size, min_words=1).collect()
+    want = gone(rows, least=1)
+    assert {r["doc_id"]: r["removed"] for r in out if r["removed"]} == want
+    assert want[201] == want[203] == want[205] == [0] and want[79][-1] == 5 and not any({3, 4} & set(x) for x in want.values())
+
+
+def test_query_and_pipeline_remove_short_repeats(spark, tmp_path):
+    import corpus_pipeline
+    from textloom.llm import queries
+
+    rows = [(1, "All rights reserved.", "en", "s", 20), (2, "All rights reserved.\nmore", "en", "s", 25)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["text"] for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()} == {1: rows[0][1], 2: "more"}
+    out = corpus_pipeline.lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out} == {1: (rows[0][1], 20), 2: ("more", 4)}

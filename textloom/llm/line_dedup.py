@@ -1,11 +1,11 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words. It goes if an earlier line, in order of document key and place, has a Jaccard similarity
-of ``threshold`` with it (equal sets have 1). Lines of under ``min_words`` distinct words say too little and stay.
+of ``threshold`` with it (equal sets have 1). Lines without a word, or of under ``min_words`` distinct words, stay.
 
 Rarity. One pass counts words in 2**18 bins; words are ordered by their bin's count (in half powers of two), then hash.
 Equal sets. Each distinct set is taken once, from its first line. Candidates. A set posts the rarest words of its probe
-prefix. Two sets that are similar share one of these within the index prefix of the smaller; pairs must also pass the
+prefix, unless it is so small that only equal sets reach the threshold. Two sets that are similar share one of these within the index prefix of the smaller; pairs must also pass the
 length filter, the positional filter and a bound from 128-bit parity maps of the words, which never drops a similar pair.
 A later set needs only one similar earlier set, so at first each bucket names its two earliest candidates; sets that these
 don't settle meet all further candidates in a second round, so no case is left out. Words whose bins count over 4,096
@@ -129,7 +129,7 @@ def _describe(batch: pa.RecordBatch, counts: np.ndarray, threshold: float, min_w
     h, unit = _sets(w, level)
     at = np.searchsorted(unit, np.arange(len(row) + 1))
     size = np.diff(at)
-    pick = np.flatnonzero(size >= min_words)
+    pick = np.flatnonzero(size >= max(min_words, 1))
     if not len(pick):
         return
     begin = at[pick]
@@ -144,12 +144,12 @@ def _describe(batch: pa.RecordBatch, counts: np.ndarray, threshold: float, min_w
     maps = np.zeros((2, len(size)), U)
     for k in range(2):
         maps[k, nonempty] = np.bitwise_xor.reduceat(np.where(place >> U(6) == k, flag, U(0)), at[:-1][nonempty])
-    probe = n - needed(n, threshold) + 1
+    probe = np.where(needed(n + 1, threshold) <= n, n - needed(n, threshold) + 1, 0)  # 0: one word more or less is too far
     flat = np.repeat(begin - (np.cumsum(probe) - probe), probe) + np.arange(int(probe.sum()))
     words = h[flat]
     heavy = level[(words >> U(64 - BITS)).astype(np.int64)] >= _levels(np.array(crowd))
-    light = np.add.reduceat((~heavy).astype(np.int64), np.cumsum(probe) - probe)
     ptr = np.concatenate([[0], np.cumsum(probe)])
+    light = np.diff(np.concatenate([[0], np.cumsum(~heavy)])[ptr])
     yield pa.RecordBatch.from_arrays(
         [
             batch.column(0).take(pa.array(row[pick])),

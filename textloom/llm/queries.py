@@ -32,7 +32,7 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text")
 
 
