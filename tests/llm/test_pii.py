@@ -56,3 +56,12 @@ def test_many_names_stay_distinct(spark):
 
 def test_empty_table(spark):
     assert pii.replace(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_later_mentions_of_a_titled_name(spark):
+    rows = [(1, "Dr. Anna Weber called. Anna Weber said so, WEBER too; Weber left, Webern stayed. a@b.example.org Weber's"), (2, "Weber is no titled name here, 12.")]
+    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    one = re.fullmatch(r"Dr\. (\S+) (\S+) called\. (\S+) (\S+) said so, (\S+) too; (\S+) left, Webern stayed\. \S+@\S+ (\S+)'s", got[1]["text"])
+    assert one and one[1] == one[3] in pii.GIVEN_OTHER and one[2] != "Weber"
+    assert one[2] == one[4] == one[6] == one[7] and one[5] == one[2].upper() and got[1]["n_entities"] == 6
+    assert got[2]["text"] == rows[1][1]

@@ -6,7 +6,8 @@ replacement: SHA-512 of key, kind, component and attempt drives a choice of char
 the same gender and script, or of a card or account number that passes the same check as the original. Rounds of
 collision checks give another attempt to replacements that two components share, that were given before, or that occur
 as real components, until all differ. Mentions of one component in several formats get the same replacement in each
-mention's own format (separators, case, title), in all documents.
+mention's own format (separators, case, title), in all documents. Names are found behind titles; the full names and
+surnames found so are then replaced wherever the same text mentions them as whole words, as written or in capitals.
 
 Defined cases: a null text stays null, an empty one empty, a text without an entity is returned as it came. Rows keep
 their number; rows of equal text get equal results; extra columns stay where ``replace`` is used.
@@ -252,6 +253,21 @@ def dictionary(raws: DataFrame, key: str) -> DataFrame:
     return found.select("raw", F.col("whole").alias("kind"), render(F.col("whole"), F.col("raw"), F.col("a"), F.col("b")).alias("surrogate"))
 
 
+def mentions(named: DataFrame) -> DataFrame:
+    """(id, raw, surrogate) of the full names and surnames of the titled persons of each text, from (id, raw, surrogate)."""
+    bare = lambda c: F.substring(c, F.length(_title(c)) + 1, F.length(c))
+    last = lambda c: F.element_at(F.split(c, " "), -1)
+    both = named.where(F.col("raw").rlike(f"^(?:{PERSON})$")).select("id", bare(F.col("raw")).alias("n"), bare(F.col("surrogate")).alias("s"))
+    n, s = F.col("n"), F.col("s")
+    stem = lambda c: F.regexp_replace(c, "['’][sS]?$", "")
+    forms = []
+    for a, b in ((n, s), (last(n), last(s)), (stem(n), s), (stem(last(n)), last(s))):
+        forms += [(a, b), (F.upper(a), F.upper(b)), (F.when(a == F.upper(a), F.initcap(a)), F.initcap(b))]
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), a.alias("raw"), b.alias("surrogate")) for k, (a, b) in enumerate(forms)])
+    each = both.select("id", F.explode(rows).alias("x")).where("length(x.raw) > 1")
+    return each.groupBy("id", F.col("x.raw").alias("raw")).agg(F.min(F.struct("x.k", "x.surrogate")).alias("y")).select("id", "raw", F.col("y.surrogate").alias("surrogate"))
+
+
 def replace(docs: DataFrame, text: str = "text", key: str = "surrogates") -> DataFrame:
     """``docs`` with surrogates in ``text`` and a column n_entities; ``key`` is the secret of the replacements.
 
@@ -263,10 +279,20 @@ def replace(docs: DataFrame, text: str = "text", key: str = "surrogates") -> Dat
     found = materialise(found.groupBy("id").agg(F.first("e").alias("e")), "pii-found")
     asked = found.select("id", F.explode("e").alias("raw")).distinct()
     book = materialise(dictionary(asked, key).select("raw", "surrogate"), "pii-dictionary")
-    by_text = asked.join(book, "raw").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("raw", "surrogate"))).alias("__m"))
-    by_text = materialise(found.join(by_text, "id").select(F.col("id").alias("__id"), F.col("e").alias("__e"), "__m"), "pii-by-text")
+    named = materialise(asked.join(book, "raw").select("id", "raw", "surrogate"), "pii-named")
+    table = lambda rows, name: rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("raw", "surrogate"))).alias(name))
+    by_text = found.join(table(named, "__m"), "id").join(table(mentions(named), "__n"), "id", "left")
+    # Longer names first; they hold letters, apostrophes, hyphens and blanks only.
+    names = F.array_join(F.transform(F.array_sort(F.transform(F.map_keys("__n"), lambda x: F.struct((-F.length(x)).alias("k"), x.alias("x")))), lambda y: y["x"]), "|")
+    by_text = by_text.withColumn("__w", F.concat(F.lit(_B + "(?:"), names, F.lit(")" + _E)))
+    by_text = materialise(by_text.select(F.col("id").alias("__id"), F.col("e").alias("__e"), "__m", "__n", "__w"), "pii-by-text")
     out = docs.join(small(by_text, F.size("__e")), id_ == F.col("__id"), "left")
-    swap = lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.col("__m")[F.get(F.col("__e"), i - 1)], p))
+    hits = lambda p: F.concat(F.array(F.lit("")), F.regexp_extract_all(p, F.col("__w"), F.lit(0)))
+    again = lambda p: F.array_join(F.zip_with(hits(p), F.split(p, F.col("__w"), -1), lambda h, x: F.concat(F.coalesce(F.col("__n")[h], h), x)), "")
+    rest = lambda p: F.when(F.col("__w").isNull(), p).otherwise(again(p))
+    swap = lambda p, i: F.when(i == 0, rest(p)).otherwise(F.concat(F.col("__m")[F.get(F.col("__e"), i - 1)], rest(p)))
+    more = F.aggregate(F.split(F.col(text), ANY, -1), F.lit(0), lambda a, p: a + F.regexp_count(p, F.col("__w")))
+    n = F.size("__e") + F.when(F.col("__w").isNull(), 0).otherwise(more)
     new = F.when(F.col("__id").isNull(), F.col(text)).otherwise(F.array_join(F.transform(F.split(F.col(text), ANY, -1), swap), ""))
     plain = [c for c in docs.columns if c != "n_entities"]
-    return out.select(*[new.alias(text) if c == text else F.col(c) for c in plain], F.when(F.col("__id").isNull(), 0).otherwise(F.size("__e")).alias("n_entities"))
+    return out.select(*[new.alias(text) if c == text else F.col(c) for c in plain], F.when(F.col("__id").isNull(), 0).otherwise(n).alias("n_entities"))
