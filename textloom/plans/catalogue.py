@@ -442,7 +442,7 @@ def _model(spark: SparkSession, sf_dir: str) -> tuple[features.Detector, DataFra
     rows = labelled(spark, sf_dir).select("doc_id", "text", "label", hash_bucket(F.col("doc_id").cast("string"), 42).alias("b"))
     words_ = vocabulary.fit(rows.where("b < 80"), min_freq=5, top_k=500)
     found = materialise(features.extract(rows, words_).drop("text"), "features")
-    return features.Detector(rounds=20).train(found.where("b < 80")), found.where("b >= 80")
+    return features.Detector().train(found.where("b < 80")), found.where("b >= 80")
 
 
 @query()
