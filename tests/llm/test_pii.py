@@ -65,3 +65,10 @@ def test_later_mentions_of_a_titled_name(spark):
     assert one and one[1] == one[3] in pii.GIVEN_OTHER and one[2] != "Weber"
     assert one[2] == one[4] == one[6] == one[7] and one[5] == one[2].upper() and got[1]["n_entities"] == 6
     assert got[2]["text"] == rows[1][1]
+
+
+def test_keys_without_a_digit_are_found(spark):
+    secrets = ["AKIA" + "ABCDEFGHIJKLMNOP", "xoxb-" + "abcdefghij", "sk-" + "abcdefghij-klmnopqrst", "ghp_" + "abcde" * 6, "abcdef" * 6, "ABCDEF" * 6, "aa:bb:cc:dd:ee:ff", "a:b:c:d:e:f:a:b"]
+    df = spark.createDataFrame([(k, f"see {s} there") for k, s in enumerate(secrets)], "doc_id int, text string")
+    got = {r["doc_id"]: r["e"] for r in df.select("doc_id", pii.entities(F.col("text")).alias("e")).collect()}
+    assert got == {k: [s] for k, s in enumerate(secrets)}

@@ -49,7 +49,7 @@ _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
 PERSON = _B + rf"(?:{FEMALE}|{MALE}|{OTHER})\.? {_NAME}(?: {_NAME})?"
 ANY = "|".join((EMAIL, IBAN, KEYED, LABELLED, HEX, IPV6, MAC, IPV4, CARD, SSN, PHONE, PERSON))
 #: Whatever ANY matches holds one of these, and most texts don't.
-MAYBE = rf"[\d@]|(?i:password|passwd|pwd|api[_-]?key|secret|token)|(?:{FEMALE}|{MALE}|{OTHER})\.? \p{{Lu}}"
+MAYBE = rf"[\d@]|(?i:password|passwd|pwd|api[_-]?key|secret|token)|(?:{FEMALE}|{MALE}|{OTHER})\.? \p{{Lu}}|AKIA|gh[pousr]_|sk-|xox[abprs]-|[a-f]{{32}}|[A-F]{{32}}|(?:[A-Fa-f]{{1,4}}[:-]){{5}}"
 ATTEMPTS = 40
 
 
