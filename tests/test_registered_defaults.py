@@ -11,3 +11,9 @@ def test_registered_models_take_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(catalogue.features.Detector, "train", lambda self, _: self)
     model, _ = catalogue._model(spark, "")
     assert model.trees.getMaxIter() == 200
+
+
+def test_registered_pilots_take_the_default_target(spark):
+    fields = "group_id string, record_id string, label int, split string, model string, domain string, attack string"
+    rows = spark.createDataFrame([(f"g{k // 2}", f"r{k}", k % 2, "train", "m", "d", "a") for k in range(400)], fields)
+    assert catalogue._selected(rows).count() == 200

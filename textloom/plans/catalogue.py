@@ -332,7 +332,7 @@ def pilot_group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selected(rows: DataFrame) -> DataFrame:
-    return pilot.select_groups(materialise(pilot.summarize(_train(rows)), "pilot-groups"), target_rows=100)
+    return pilot.select_groups(materialise(pilot.summarize(_train(rows)), "pilot-groups"))
 
 
 @query()
