@@ -31,6 +31,7 @@ SCRIPTS = ("latin", "cyrillic", "greek", "hebrew", "arabic", "indic", "thai", "h
 _FROM = ((0x41, 0), (0x370, 2), (0x400, 1), (0x530, 10), (0x590, 3), (0x600, 4), (0x780, 10), (0x900, 5), (0xE00, 6), (0xE80, 10), (0x1100, 7), (0x1200, 10), (0x1E00, 0), (0x1F00, 2), (0x2000, 10), (0x2C60, 0), (0x2C80, 10), (0x3040, 8), (0x3100, 10), (0x3400, 9), (0xA000, 10), (0xAC00, 7), (0xD7B0, 10), (0xF900, 9), (0xFB00, 10))
 _STARTS = np.array([a for a, _ in _FROM])
 _KIND = np.array([b for _, b in _FROM], np.int8)
+_LETTER = np.array([chr(c).isalpha() for c in range(0x34000)])  # no letter lies beyond
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -45,14 +46,9 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def _script(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Script of each word, by its first letter's code point; -1 for a word without a letter (digits, underscores)."""
+    """Script of each word, by its first letter's code point; -1 for a word without a letter (digits, underscores, signs)."""
     out = np.zeros(len(start), np.int8)
     b0 = data[start]
-    digit = (b0 < 0x41) | (b0 == 0x5F)
-    if digit.any():  # words that begin with a digit may hold a letter later
-        letter = ((data >= 0x41) & (data != 0x5F)).astype(np.int32)
-        run = np.concatenate([[0], np.cumsum(letter)])
-        out[digit & (run[end] == run[start])] = -1
     wide = np.flatnonzero(b0 >= 0xC3)
     if len(wide):
         s = start[wide]
@@ -61,6 +57,14 @@ def _script(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         code = np.where(b < 0xE0, (b & 31) << 6 | c, np.where(b < 0xF0, (b & 15) << 12 | c << 6 | d, 0x1FFFF))
         code = np.where(code < 0x41, 0x41, code)
         out[wide] = np.where(code == 0x1FFFF, 10, _KIND[np.searchsorted(_STARTS, code, "right") - 1])
+    letter = (data >= 0x41) & (data < 0x80) & (data != 0x5F)
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        b, c, d, e = (np.concatenate([data, np.zeros(4, np.uint8)])[lead + k].astype(np.int64) & (63 if k else 255) for k in range(4))
+        code = np.where(b < 0xE0, (b & 31) << 6 | c, np.where(b < 0xF0, (b & 15) << 12 | c << 6 | d, (b & 7) << 18 | c << 12 | d << 6 | e))
+        letter[lead] = _LETTER[np.minimum(code, len(_LETTER) - 1)]
+    run = np.concatenate([[0], np.cumsum(letter, dtype=np.int32)])
+    out[run[end] == run[start]] = -1
     return out
 
 
