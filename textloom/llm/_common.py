@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
@@ -70,11 +71,34 @@ def slices(batch: pa.RecordBatch, limit: int = 6_000_000) -> Iterator[pa.RecordB
         yield batch.slice(at)
 
 
-def small(df: DataFrame, weight=None, most: int = 1_000_000) -> DataFrame:
-    """``df``, marked to be sent to all tasks if it is proved small: ``most`` rows, or of its rows' summed weights. Give
-    a frame that is written already, as it is counted first."""
-    n = df.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight + 1), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= most else df
+SMALL_BYTES = 48 << 20
+
+
+def row_bytes(c: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, MapType, StructType)):
+            return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda a, x: a + row_bytes(x, kind.elementType)), F.lit(16))
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 16
+    if isinstance(kind, MapType):
+        return row_bytes(F.map_keys(c), ArrayType(kind.keyType)) + row_bytes(F.map_values(c), ArrayType(kind.valueType))
+    if isinstance(kind, StructType):
+        return sum((row_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
+def bytes_of(df: DataFrame) -> int:
+    """About how many bytes the rows of ``df`` take in memory; give a frame that is written already."""
+    size = sum((row_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    return df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+
+
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """``df``, marked to be sent to all tasks if its rows are proved to take ``most`` bytes at most; beyond that the
+    optimizer's joins take over. Give a frame that is written already, as it is measured first."""
+    return F.broadcast(df) if bytes_of(df) <= most else df
 
 
 def offsets_of(a: pa.Array) -> np.ndarray:

@@ -5,15 +5,16 @@ of ``threshold`` with it (equal sets have 1). Lines without a word, or of under
 
 Rarity. One pass counts words in 2**18 bins; words are ordered by their bin's count (in half powers of two), then hash.
 Equal sets. Each distinct set is taken once, from its first line. Candidates. A set posts the rarest words of its probe
-prefix, unless it is so small that only equal sets reach the threshold. Two sets that are similar share one of these within the index prefix of the smaller; pairs must also pass the
-length filter, the positional filter and a bound from 128-bit parity maps of the words, which never drops a similar pair.
+prefix, unless it is so small that only equal sets reach the threshold. Two sets that are similar share one of these
+within the index prefix of the smaller. The members of a bucket lie in order of size, so the length filter picks a run of
+them; pairs must also pass the positional filter and a bound from 128-bit parity maps of the words, which never drops a similar pair.
 A later set needs only one similar earlier set, so at first each bucket names its two earliest candidates; sets that these
 don't settle meet all further candidates in a second round, so no case is left out. Words whose bins count over 4,096
 are counted exactly, and buckets over that are cut into blocks that meet the bucket's first members, then, for the sets
 that are still open, all others. Verification compares the words of both lines.
 
 Defined cases: null and empty texts have no lines to remove and stay. Rows of equal key and equal text are one document
-and lose the same lines; rows of equal key and different texts follow one another by text hash. Null keys come first.
+and lose the same lines; rows of equal key and different texts follow one another by the text's MD5. Null keys come first.
 A document all of whose lines go stays with an empty text. Lines end at a line feed. Other columns stay as they came.
 """
 
@@ -36,7 +37,7 @@ from textloom.session import discard, materialise
 
 BITS = 18
 BATCH = 200_000
-PLACES = 24  # bits of a line's number
+PAIRS = 1 << 20  # pairs of rows that are looked at together
 
 
 @dataclass(frozen=True)
@@ -122,7 +123,7 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 def _describe(batch: pa.RecordBatch, counts: np.ndarray, threshold: float, min_words: int, crowd: int) -> Iterator[pa.RecordBatch]:
     """A row for each line that takes part."""
-    w, row, number = _lines(batch.column(2))
+    w, row, number = _lines(batch.column(1))
     if not len(w.hash):
         return
     level = _levels(counts)
@@ -153,8 +154,7 @@ def _describe(batch: pa.RecordBatch, counts: np.ndarray, threshold: float, min_w
     yield pa.RecordBatch.from_arrays(
         [
             batch.column(0).take(pa.array(row[pick])),
-            batch.column(1).take(pa.array(row[pick])),
-            pa.array(number[pick], pa.int32()),
+            pa.array(number[pick], pa.int64()),
             pa.array(h1.view(np.int64)),
             pa.array(h2.view(np.int64)),
             pa.array(n, pa.int32()),
@@ -163,81 +163,93 @@ def _describe(batch: pa.RecordBatch, counts: np.ndarray, threshold: float, min_w
             pa.array(light, pa.int32()),
             pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(words.view(np.int64))),
         ],
-        names=["d", "th", "line", "h1", "h2", "size", "bits", "bits2", "light", "prefix"],
+        names=["d", "lo", "h1", "h2", "size", "bits", "bits2", "light", "prefix"],
     )
 
 
-def _pass(i, j, size, pos, bits, bits2, threshold):
-    """Which pairs (places i, j of a bucket's rows) may be similar."""
-    a, b = size[i], size[j]
-    small, large = np.minimum(a, b), np.maximum(a, b)
-    ok = small >= threshold * large - 1e-9
-    p = np.where(a <= b, pos[i], pos[j])
-    ok &= p < small - np.ceil(2 * threshold / (1 + threshold) * small - 1e-9) + 1
-    alpha = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
-    ok &= 1 + np.minimum(a - pos[i], b - pos[j]) - 1 >= alpha
-    k = np.flatnonzero(ok)
-    i, j = i[k], j[k]
-    ok[k] = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) + np.bitwise_count(bits2[i] ^ bits2[j]) <= (a + b - 2 * alpha)[k]
-    return ok
+def _pairs(size: np.ndarray, pos: np.ndarray, bucket: np.ndarray, role: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket that pass the length, prefix and positional filters, in runs of bounded size. Rows are
+    sorted by bucket, then size, so the partners of a row lie in one run; of each pair one row at least may be the later."""
+    index = size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64) + 1  # the prefix of the smaller
+    key = bucket * (1 << 33) + size
+    top = bucket * (1 << 33) + np.floor(size / threshold + 1e-9).astype(np.int64)
+    rows = np.arange(len(size))
+    every = bool((role == 3).all())
+    if every:  # look around among larger rows only
+        own, other = np.flatnonzero(pos < index), rows
+        first, last = own + 1, np.searchsorted(key, top[own], "right")
+    else:  # few may be the later: only these look around, among those that may be the earlier
+        own, other = np.flatnonzero(role & 2 > 0), np.flatnonzero(role & 1 > 0)
+        first = np.searchsorted(key[other], (bucket * (1 << 33) + needed(size, threshold))[own], "left")
+        last = np.searchsorted(key[other], top[own], "right")
+    count = np.maximum(last - first, 0)
+    done = np.concatenate([[0], np.cumsum(count)])
+    at = 0
+    while at < len(own):
+        end = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, "right")) - 1)
+        n = count[at:end]
+        i = np.repeat(own[at:end], n)
+        j = other[np.arange(int(done[end] - done[at])) + np.repeat(first[at:end] - (done[at:end] - done[at]), n)]
+        at = end
+        a, b = size[i], size[j]
+        if not every:  # a pair of two that ask comes once only
+            ok = np.where(a <= b, pos[i] < index[i], pos[j] < index[j]) & ((role[i] & 1 == 0) | (role[j] & 2 == 0) | (i < j)) & (i != j)
+            i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+        alpha = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+        ok = np.flatnonzero(np.minimum(a - pos[i], b - pos[j]) >= alpha)
+        yield i[ok], j[ok]
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float, earliest: int | None) -> Iterator[pa.RecordBatch]:
-    """Candidates of rows sorted by bucket (columns 0 to 2) and id (columns 3 and 4): later, earlier and whether the
-    later set has further candidates in the bucket. ``role``: 1 may be the earlier, 2 the later, 3 (if absent) either."""
+    """Candidates of rows that come bucket by bucket (word, p, q): later, earlier and whether the later set has further
+    candidates in the bucket. ``role``: 1 may be the earlier, 2 the later, 3 (if absent) either."""
 
     def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        same = np.ones(t.num_rows + 1, bool)  # does a row continue the bucket of the row before?
+        same[0] = same[-1] = False
+        for c in ("word", "p", "q"):
+            if c in t.column_names:
+                same[1:-1] &= np.diff(t.column(c).to_numpy()) == 0
+        bucket = np.cumsum(~same[:-1])
+        some = np.flatnonzero(same[:-1] | same[1:])  # a row alone meets nothing
+        if not len(some):
+            return
+        t, bucket = t.take(pa.array(some)).combine_chunks(), bucket[some]
+        size = t.column("sp").to_numpy() >> 32
+        order = np.lexsort((size, bucket))
+        t, bucket, size = t.take(pa.array(order)).combine_chunks(), bucket[order], size[order]
         col = {c: t.column(c).to_numpy() for c in t.column_names}
-        for c, value in (("p", 0), ("q", 0), ("role", 3), ("more", False)):
-            col.setdefault(c, np.full(t.num_rows, value))
-        size, pos = col["sp"] >> 32, col["sp"] & 0xFFFFFFFF
-        bits, bits2, role = col["bits"].view(U), col["bits2"].view(U), col["role"]
         n = len(size)
-        new = np.ones(n, bool)
-        new[1:] = (np.diff(col["word"]) != 0) | (np.diff(col["p"]) != 0) | (np.diff(col["q"]) != 0)
-        start = np.flatnonzero(new)
-        length = np.diff(np.append(start, n))
-        end = np.repeat(start + length, length)
+        pos = col["sp"] & 0xFFFFFFFF
+        role = col["role"].astype(np.int64) if "role" in col else np.full(n, 3)
+        bits, bits2 = col["bits"].view(U), col["bits2"].view(U)
+        when = np.empty(n, np.int64)  # place in the order of sets; the rows of one set have the same
+        order = np.lexsort((col["lo"], col["d"]))
+        when[order] = np.cumsum(np.concatenate([[False], (np.diff(col["d"][order]) != 0) | (np.diff(col["lo"][order]) != 0)]))
         later, earlier = [], []
-        small = np.repeat(length <= 96, length)
-        live = np.flatnonzero(small)
-        step = 0
-        while len(live):
-            step += 1
-            live = live[live + step < end[live]]
-            j = live + step
-            i = live[(role[live] & 1 > 0) & (role[j] & 2 > 0)]
-            ok = _pass(i, i + step, size, pos, bits, bits2, threshold)
+        for i, j in _pairs(size, pos, bucket, role, threshold):
+            a, b = size[i], size[j]
+            far = (a + b - 2 * np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)).astype(np.int64)
+            ok = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) + np.bitwise_count(bits2[i] ^ bits2[j]) <= far
+            i, j = i[ok], j[ok]
+            swap = when[i] > when[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            ok = (when[i] != when[j]) & (role[i] & 1 > 0) & (role[j] & 2 > 0)  # a crowded block may hold a set in both roles
             earlier.append(i[ok])
-            later.append(i[ok] + step)
-        for s, m in zip(start[length > 96].tolist(), length[length > 96].tolist(), strict=True):
-            rows = np.arange(s, s + m)
-            left, right = rows[role[rows] & 1 > 0], rows[role[rows] & 2 > 0]
-            for k in range(0, len(right), 256):
-                r = right[k : k + 256]
-                i = np.repeat(left[None, :], len(r), 0).ravel()
-                j = np.repeat(r, len(left))
-                ahead = i < j
-                i, j = i[ahead], j[ahead]
-                ok = _pass(i, j, size, pos, bits, bits2, threshold)
-                earlier.append(i[ok])
-                later.append(j[ok])
+            later.append(j[ok])
         if not later or not sum(map(len, later)):
             return
         i, j = np.concatenate(earlier), np.concatenate(later)
-        apart = (col["d"][i] != col["d"][j]) | (col["lo"][i] != col["lo"][j])  # a crowded block may hold a set in both roles
-        i, j = i[apart], j[apart]
-        order = np.lexsort((i, j))
+        order = np.lexsort((when[i], j))
         i, j = i[order], j[order]
-        more = col["more"][j].copy()
+        more = col["more"][j].copy() if "more" in col else np.zeros(len(j), bool)
         if earliest is not None:
             first = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
             count = np.diff(np.append(first, len(j)))
             more |= np.repeat(count > earliest, count)
             keep = np.arange(len(j)) - np.repeat(first, count) < earliest
             i, j, more = i[keep], j[keep], more[keep]
-        pick = lambda name, x: t.column(name).combine_chunks().take(pa.array(x))
-        yield pa.RecordBatch.from_arrays([pick("d", j), pick("lo", j), pick("d", i), pick("lo", i), pick("word", j), pa.array(more)], names=["bd", "blo", "ad", "alo", "word", "more"])
+        yield pa.RecordBatch.from_arrays([pa.array(col[c][x]) for c, x in (("d", j), ("lo", j), ("d", i), ("lo", i), ("word", j))] + [pa.array(more)], names=["bd", "blo", "ad", "alo", "word", "more"])
 
     held: list[pa.Table] = []
     for batch in batches:
@@ -262,9 +274,9 @@ _PAIR = "bd long, blo long, ad long, alo long, word long, more boolean"
 def _meet(rows: DataFrame, threshold: float, earliest: int | None) -> DataFrame:
     width = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bucket = [c for c in ("word", "p", "q") if c in rows.columns]
-    order = (*bucket, "d", "lo")
     more = [c for c in ("role", "more") if c in rows.columns]
-    return rows.select(*order, "sp", "bits", "bits2", *more).repartition(width, *bucket).sortWithinPartitions(*order).mapInArrow(partial(_compare, threshold=threshold, earliest=earliest), _PAIR)
+    # Sorted by bucket only: one column of numbers goes through the radix sort.
+    return rows.select(*bucket, "d", "lo", "sp", "bits", "bits2", *more).repartition(width, *bucket).sortWithinPartitions(*bucket).mapInArrow(partial(_compare, threshold=threshold, earliest=earliest), _PAIR)
 
 
 def _posted(sets: DataFrame) -> DataFrame:
@@ -277,9 +289,9 @@ def _first_round(sets: DataFrame, crowded: DataFrame | None, threshold: float, s
     posts = _posted(sets)
     if crowded is None:
         return _meet(posts, threshold, size.earliest)
-    few = posts.join(F.broadcast(crowded.select("word")), "word", "left_anti")
+    few = posts.join(crowded, "word", "left_anti")
     out = _meet(few, threshold, size.earliest)
-    many = posts.where("heavy").join(F.broadcast(crowded), "word")
+    many = posts.where("heavy").join(crowded, "word")
     # A bucket's first members: the least of each of 64 parts, then the least of those.
     order = (F.col("d"), F.col("lo"))
     part = F.row_number().over(Window.partitionBy("word", F.pmod(F.xxhash64("d", "lo"), F.lit(64))).orderBy(*order))
@@ -293,13 +305,13 @@ def _first_round(sets: DataFrame, crowded: DataFrame | None, threshold: float, s
 def _second_round(sets: DataFrame, crowded: DataFrame | None, waiting: DataFrame, threshold: float, size: Sizes) -> DataFrame:
     """All candidates of the waiting sets (word, d, lo)."""
     posts = _posted(sets).join(small(materialise(waiting.select("word").distinct(), "line-words")), "word", "left_semi")
-    posts = posts.join(small(waiting.withColumn("w", F.lit(True))), ["word", "d", "lo"], "left")
+    posts = posts.join(small(waiting).withColumn("w", F.lit(True)), ["word", "d", "lo"], "left")
     role = F.when(F.col("w"), 3).otherwise(1)
-    few = posts if crowded is None else posts.join(F.broadcast(crowded.select("word")), "word", "left_anti")
+    few = posts if crowded is None else posts.join(crowded, "word", "left_anti")
     out = _meet(few.withColumn("role", role), threshold, None)
     if crowded is None:
         return out
-    many = posts.join(F.broadcast(crowded), "word")
+    many = posts.join(crowded, "word")
     n = many.where("w").groupBy("word").agg(F.ceil(F.count(F.lit(1)) / size.crowd).cast("int").alias("np"))
     many = many.join(n, "word")
     hash_ = F.xxhash64("d", "lo")
@@ -310,9 +322,9 @@ def _second_round(sets: DataFrame, crowded: DataFrame | None, waiting: DataFrame
 
 
 def _words_of_lines(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The distinct word hashes of the asked lines (column 2: their numbers) of each text, in order."""
-    w, row, number = _lines(batch.column(3))
-    asked = batch.column(2).to_pylist()
+    """The distinct word hashes of the asked lines (column 1: their numbers) of each text, in order."""
+    w, row, number = _lines(batch.column(2))
+    asked = batch.column(1).to_pylist()
     want = np.zeros(len(row), bool)
     first = np.searchsorted(row, np.arange(batch.num_rows))
     for r, lines in enumerate(asked):
@@ -321,7 +333,7 @@ def _words_of_lines(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     at = np.searchsorted(unit, np.arange(len(row) + 1))
     pick = np.flatnonzero(want)
     sets = [np.sort(h[at[i] : at[i + 1]]).tobytes() for i in pick.tolist()]
-    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[pick])), batch.column(1).take(pa.array(row[pick])), pa.array(number[pick], pa.int32()), pa.array(sets, pa.binary())], names=["d", "th", "line", "words"])
+    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[pick])), pa.array(number[pick], pa.int64()), pa.array(sets, pa.binary())], names=["d", "lo", "words"])
 
 
 def _similar(batch: pa.RecordBatch, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -334,50 +346,39 @@ def _similar(batch: pa.RecordBatch, threshold: float) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["d", "lo"])
 
 
-def _place(salted: bool):
-    """A line's place within its document, as one number: the text hash above (only if keys repeat), the line below."""
-    line = F.least(F.col("line").cast("long"), F.lit((1 << PLACES) - 1))
-    return F.col("th").bitwiseAND(F.lit(-1 << PLACES)).bitwiseOR(line) if salted else line
-
-
 def removed_lines(docs: DataFrame, text: str, key: str, threshold: float, min_words: int, size: Sizes) -> tuple[DataFrame, DataFrame]:
-    """(documents as d, th and all columns; d, th and the numbers of the lines to remove)."""
+    """(documents as __d and all columns; d and the numbers of the lines to remove)."""
     spark = docs.sparkSession
     ship(spark)
     names = docs.columns
-    if isinstance(docs.schema[key].dataType, IntegralType):
-        keyed = docs.withColumn("__d", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))))
-    else:  # other keys are numbered in their order
-        numbered = docs.select(F.col(key).alias("__k")).distinct().orderBy("__k")
-        numbered = materialise(numbered.withColumn("__d", F.monotonically_increasing_id()), "line-keys")
-        keyed = docs.join(numbered, F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
-    salted = not docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     full = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = keyed.withColumn("__th", F.xxhash64(full) if salted else F.lit(0).cast("long")).select("__d", "__th", *names)
-    rows = keyed.select(F.col("__d").alias("d"), F.col("__th").alias("th"), full.alias("t"))
+    repeated = not docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if isinstance(docs.schema[key].dataType, IntegralType) and not repeated:
+        keyed = docs.withColumn("__d", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))))
+    else:  # other keys, and the texts of one key by their hash, are numbered in their order
+        ids = docs.select(F.col(key).alias("__k"), F.md5(full.cast("binary")).alias("__t"))
+        numbered = ids.distinct().orderBy("__k", "__t").withColumn("__d", F.monotonically_increasing_id())
+        numbered = materialise(numbered, "line-keys")
+        keyed = docs.join(numbered, F.col(key).eqNullSafe(F.col("__k")) & (F.md5(full.cast("binary")) == F.col("__t"))).drop("__k", "__t")
+    keyed = keyed.select("__d", *names)
+    rows = keyed.select(F.col("__d").alias("d"), full.alias("t"))
 
     counts = rarity(rows, "t")
-    schema = "d long, th long, line int, h1 long, h2 long, size int, bits long, bits2 long, light int, prefix array<long>"
+    schema = "d long, lo long, h1 long, h2 long, size int, bits long, bits2 long, light int, prefix array<long>"
     lines = materialise(arrow_map(rows, partial(_describe, counts=counts, threshold=threshold, min_words=min_words, crowd=size.crowd), schema), "lines")
     first = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("d", "lo"))
-    sets = lines.withColumn("lo", _place(salted)).withColumn("r", first).where("r = 1").drop("r")
-    sets = materialise(sets, "line-sets")
+    sets = materialise(lines.withColumn("r", first).where("r = 1").drop("r"), "line-sets")
 
     heavy = _posted(sets.where(F.size("prefix") > F.col("light"))).where("heavy").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size.crowd)
-    # At most one word in 4,096 postings is crowded; a word takes 12 bytes here.
     crowded = materialise(heavy.select("word", F.ceil(F.col("n") / size.crowd).cast("int").alias("blocks")), "crowded")
-    crowded = None if crowded.isEmpty() else crowded
-
-    where = sets.select("d", "th", "lo", "line")
+    crowded = None if crowded.isEmpty() else small(crowded)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(d, lo) of the later sets of those pairs whose words agree enough."""
         ids = pairs.select(F.col("bd").alias("d"), F.col("blo").alias("lo")).union(pairs.select("ad", "alo")).distinct()
-        asked = where.join(ids, ["d", "lo"]).groupBy("d", "th").agg(F.collect_list("line").alias("lines"))
-        asked = small(materialise(asked, "line-asked"), F.size("lines"))
-        found = rows.join(asked, ["d", "th"]).dropDuplicates(["d", "th"]) if salted else rows.join(asked, ["d", "th"])
-        words = arrow_map(found.select("d", "th", "lines", "t"), _words_of_lines, "d long, th long, line int, words binary")
-        words = materialise(words.withColumn("lo", _place(salted)).select("d", "lo", "words"), "line-words")
+        asked = small(materialise(ids.groupBy("d").agg(F.collect_list("lo").alias("lines")), "line-asked"))
+        found = rows.join(asked, "d").dropDuplicates(["d"]) if repeated else rows.join(asked, "d")
+        words = materialise(arrow_map(found.select("d", "lines", "t"), _words_of_lines, "d long, lo long, words binary"), "line-words")
         a = words.select(F.col("d").alias("ad"), F.col("lo").alias("alo"), F.col("words").alias("aw"))
         b = words.select(F.col("d").alias("bd"), F.col("lo").alias("blo"), F.col("words").alias("bw"))
         wide = pairs.join(a, ["ad", "alo"]).join(b, ["bd", "blo"]).select("bd", "blo", "aw", "bw")
@@ -389,7 +390,7 @@ def removed_lines(docs: DataFrame, text: str, key: str, threshold: float, min_wo
     gone = verified(named.select("bd", "blo", "ad", "alo").distinct())
     waiting = named.where("more").select("word", F.col("bd").alias("d"), F.col("blo").alias("lo"))
     if crowded is not None:  # members of a crowded bucket may have candidates beyond the first members
-        waiting = waiting.union(_posted(sets.where(F.size("prefix") > F.col("light"))).join(F.broadcast(crowded), "word").select("word", "d", "lo"))
+        waiting = waiting.union(_posted(sets.where(F.size("prefix") > F.col("light"))).join(crowded, "word").select("word", "d", "lo"))
     waiting = materialise(waiting.distinct().join(gone, ["d", "lo"], "left_anti").select("word", "d", "lo"), "line-waiting")
     if not waiting.isEmpty():
         rest = _second_round(sets, crowded, waiting, threshold, size).select("bd", "blo", "ad", "alo").distinct()
@@ -399,8 +400,8 @@ def removed_lines(docs: DataFrame, text: str, key: str, threshold: float, min_wo
     discard(named)
 
     kept = sets.select("h1", "h2", F.col("d").alias("sd"), F.col("lo").alias("slo")).join(gone.select(F.col("d").alias("sd"), F.col("lo").alias("slo"), F.lit(True).alias("gone")), ["sd", "slo"], "left")
-    out = lines.select("d", "th", "line", "h1", "h2").withColumn("lo", _place(salted)).join(kept, ["h1", "h2"]).where("gone or d <> sd or lo <> slo")
-    out = out.groupBy("d", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    out = lines.select("d", "lo", "h1", "h2").join(kept, ["h1", "h2"]).where("gone or d <> sd or lo <> slo")
+    out = out.groupBy("d").agg(F.array_sort(F.collect_set(F.col("lo").cast("int"))).alias("removed"))
     return keyed, materialise(out, "line-removed")
 
 
@@ -421,8 +422,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
     """``docs`` with later matching lines removed from ``text``, and columns n_lines and removed (line numbers from 0)."""
     keyed, gone = removed_lines(docs, text, key, threshold, min_words, size)
     plain = [c for c in docs.columns if c not in ("n_lines", "removed")]
-    side = small(gone.select(F.col("d").alias("__gd"), F.col("th").alias("__gt"), F.col("removed").alias("__gone")), F.size("__gone"))
-    out = keyed.join(side, (F.col("__d") == F.col("__gd")) & (F.col("__th") == F.col("__gt")), "left")
+    side = small(gone.select(F.col("d").alias("__gd"), F.col("removed").alias("__gone")))
+    out = keyed.join(side, F.col("__d") == F.col("__gd"), "left")
     n = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
     out = out.select(*plain, n.alias("n_lines"), F.col("__gone").alias("removed"))
     out = arrow_map(out, partial(_cut, at=plain.index(text)), out.schema)

@@ -286,7 +286,7 @@ def replace(docs: DataFrame, text: str = "text", key: str = "surrogates") -> Dat
     names = F.array_join(F.transform(F.array_sort(F.transform(F.map_keys("__n"), lambda x: F.struct((-F.length(x)).alias("k"), x.alias("x")))), lambda y: y["x"]), "|")
     by_text = by_text.withColumn("__w", F.concat(F.lit(_B + "(?:"), names, F.lit(")" + _E)))
     by_text = materialise(by_text.select(F.col("id").alias("__id"), F.col("e").alias("__e"), "__m", "__n", "__w"), "pii-by-text")
-    out = docs.join(small(by_text, F.size("__e")), id_ == F.col("__id"), "left")
+    out = docs.join(small(by_text), id_ == F.col("__id"), "left")
     hits = lambda p: F.concat(F.array(F.lit("")), F.regexp_extract_all(p, F.col("__w"), F.lit(0)))
     again = lambda p: F.array_join(F.zip_with(hits(p), F.split(p, F.col("__w"), -1), lambda h, x: F.concat(F.coalesce(F.col("__n")[h], h), x)), "")
     rest = lambda p: F.when(F.col("__w").isNull(), p).otherwise(again(p))
