@@ -62,6 +62,48 @@ def test_near_copies_of_repeated_and_null_keys(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_copies_are_found_by_text_whatever_keys_repeat(spark):
+    a, b, c, d = (" ".join(words(40)) for _ in range(4))
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (3, b), (4, a), (7, c), (7, d), (7, d), (8, d), (9, ""), (9, c), (10, ""), (10, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7), (10, 10)}
+    kept = sorted((r["doc_id"], r["text"]) for r in minhash.keep_first(df).collect())
+    assert kept == sorted([(1, a), (1, b), (7, c), (7, d), (9, ""), (10, "")])
+
+
+def test_repeated_rows_leave_the_same_one(spark):
+    t = " ".join(words(40))
+    df = spark.createDataFrame([(1, t, {"k": "b"}), (1, t, {"k": "a"}), (2, t, None)], "doc_id long, text string, m map<string,string>")
+    for parts in (1, 3):
+        assert [(r["doc_id"], r["m"]) for r in minhash.keep_first(df.repartition(parts)).collect()] == [(1, {"k": "a"})]
+
+
+def test_recall_of_pairs_at_and_above_the_threshold(spark):
+    """Pairs of texts of a known similarity, near the threshold: at least 0.99 of them are found."""
+    rows, want = [], 0
+    for k in range(400):
+        base = [f"u{k}x{j}" for j in range(150)]
+        twin = list(base)
+        for e in range(1 + k % 3):
+            twin[20 + 45 * e] = f"v{k}x{e}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(twin))]
+    column = pa.array([t for _, t in rows])
+    h, u = shingles_of(words_of(*text_bytes(column)))
+    at = np.searchsorted(u, np.arange(len(rows) + 1))
+    similar = [minhash.weighted_jaccard(h[at[2 * k] : at[2 * k + 1]], h[at[2 * k + 1] : at[2 * k + 2]]) for k in range(400)]
+    want = {2 * k + 1 for k in range(400) if similar[k] >= 0.8}
+    assert len(want) > 300 and min(s for s in similar if s >= 0.8) < 0.83
+    got = {r["doc_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("class_id <> doc_id").collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_a_very_long_text_has_its_near_copy(spark):
+    w = [f"t{k % 5000}y{k % 7}" for k in range(60_000)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:30_000], "other", *w[30_001:]])), (3, " ".join(w[::-1]))]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_signatures_estimate_weighted_jaccard():
     a, b = np.repeat(np.arange(400, dtype=np.uint64), 3), np.repeat(np.arange(100, 500, dtype=np.uint64), 2)
     want = 300 * 2 / (100 * 3 + 300 * 3 + 100 * 2)

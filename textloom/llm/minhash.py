@@ -8,7 +8,7 @@ shingle's count there. Register r holds the earliest such point, and two documen
 sum(min)/sum(max), their weighted Jaccard. Points are made only up to a horizon at which all registers are almost surely
 filled, and further for documents where one isn't, so the signature is exact and its cost per document is bounded.
 
-Candidates. Exact copies share one node. Registers are banded (24 bands of 5: a pair of 0.8 is missed once in 14,000).
+Candidates. Exact copies share one node, named by their text. Registers are banded (24 bands of 5: a pair of 0.8 is missed once in 14,000).
 In a bucket every member is compared with the bucket's leader, its smallest member; members that end in another component
 than their leader then meet all others of the bucket, block by block: first each names the nearest ones of other
 components, and once these links have joined components, all that are still in another one. No pair of a bucket is made
@@ -18,7 +18,8 @@ bound the similarity from above, allow it.
 Verification counts the shingles of both texts: sum(min)/sum(max) >= threshold. Classes are connected components.
 
 Defined cases: null, empty and wordless texts are near nothing (each row is its own class). Texts of one to four words
-have one shingle. Rows of equal doc_id are one document. A null doc_id has a null class. Extra columns stay aside.
+have one shingle. Rows of equal doc_id are one document, so its texts' classes are one; ``keep_first`` decides by texts. A
+null doc_id has a null class. Extra columns stay aside.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import arrow_map, ship
+from textloom.llm._common import arrow_map, ship, small
 from textloom.llm.words import U, mix, shingles_of, text_bytes, words_of
 from textloom.operators.components import connected_components
 from textloom.session import materialise
@@ -219,34 +220,40 @@ def _verify(batch: pa.RecordBatch, threshold: float) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8) -> DataFrame:
-    """Per row: key, class_id (the smallest key among the documents linked to it by chains of near copies)."""
-    spark = docs.sparkSession
+def _relabel(comp: DataFrame, merged: DataFrame) -> DataFrame:
+    """``comp`` (vertex, component) after its components, or vertices of none, have been joined: ``merged`` names the new
+    component (component) of an old one (vertex). The members of one component are never gathered by key."""
+    new = materialise(merged.select(F.col("vertex").alias("component"), F.col("component").alias("top")), "merged")
+    old = comp.join(small(new), "component", "left").select("vertex", F.coalesce("top", "component").alias("component"))
+    alone = new.join(comp.select("vertex"), new.component == comp.vertex, "left_anti").select(F.col("component").alias("vertex"), F.col("top").alias("component"))
+    return materialise(old.unionByName(alone), "components")
+
+
+def text_classes(named: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc, t, digest) with a doc: (doc and digest of those whose text has words; digest, n, doc, node and
+    component of each different text). Components join the texts that chains of near copies link; n counts a text's rows,
+    doc is its smallest key."""
+    spark = named.sparkSession
     ship(spark)
-    kind = docs.schema[key].dataType.simpleString()
     least = int(np.floor((threshold - SLACK) * M))
-    rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    named = rows.where(F.col("doc").isNotNull()).withColumn("digest", F.md5(F.col("t").cast("binary")))
-
     signed = materialise(arrow_map(named, _sign, f"doc {kind}, digest string, sig binary"), "signatures").where("sig is not null")
-    # A node stands for all documents of one text, a document for one of its texts.
-    nodes = signed.groupBy("digest").agg(F.min("doc").alias("node"), F.first("sig").alias("sig"))
-    nodes = materialise(nodes.groupBy("node").agg(F.min(F.struct("digest", "sig")).alias("x")).select("node", "x.digest", "x.sig"), "nodes")
+    nodes = signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    bands = arrow_map(nodes.select("node", "sig"), _bands, f"bucket long, node {kind}", 500_000)
+    bands = arrow_map(nodes.select("node", "sig"), _bands, "bucket long, node long", 500_000)
     leads = bands.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     multi = materialise(bands.join(leads, "bucket"), "buckets")
     sa, sb = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of nodes, those whose texts hold enough shingles in common."""
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "digest"), "node")
-        texts = named.join(asked.withColumnRenamed("node", "doc"), ["doc", "digest"]).dropDuplicates(["doc", "digest"]).select("doc", "t")
-        wide = pairs.join(texts.select(F.col("doc").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("t").alias("tb")), "b")
-        return materialise(arrow_map(wide.select("a", "b", "ta", "tb"), partial(_verify, threshold=threshold), f"a {kind}, b {kind}", 1_000_000), "links")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc", "digest"), "node")
+        texts = named.join(asked, ["doc", "digest"]).dropDuplicates(["node"]).select("node", "t")
+        wide = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+        return materialise(arrow_map(wide.select("a", "b", "ta", "tb"), partial(_verify, threshold=threshold), "a long, b long", 1_000_000), "links")
 
     pairs = multi.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    pairs = materialise(arrow_map(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), partial(_near, least=least, threshold=threshold), f"a {kind}, b {kind}"), "pairs")
+    pairs = materialise(arrow_map(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), partial(_near, least=least, threshold=threshold), "a long, b long"), "pairs")
     tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     comp = materialise(connected_components(verified(pairs), "a", "b"), "components")
 
@@ -267,7 +274,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         right = some.select("bucket", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("p"), F.pmod(part, F.col("nq")).cast("int").alias("q"), F.lit(1).alias("side"), "node", "sig", "comp")
         width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         blocks = left.unionByName(right).repartition(width, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-        more = blocks.mapInArrow(partial(_within, least=least, threshold=threshold, nearest=nearest), f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        more = blocks.mapInArrow(partial(_within, least=least, threshold=threshold, nearest=nearest), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         more = materialise(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(more)
         links = verified(more)
@@ -275,24 +282,60 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
             continue
         # The new links join components: those of the smaller graph of components are looked up for each vertex.
         ends = links.join(label.select(F.col("node").alias("a"), F.col("own").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("own").alias("cb")), "b", "left")
-        merged = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b")
-        new = merged.select(F.col("vertex").alias("component"), F.col("component").alias("top"))
-        both = comp.join(new, "component", "full_outer").select(F.coalesce("vertex", "component").alias("vertex"), F.coalesce("top", "component").alias("component"))
-        comp = materialise(both, "components")
+        comp = _relabel(comp, connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b"))
+
+    found = nodes.join(comp, nodes.node == comp.vertex, "left").select("digest", "n", "doc", "node", F.coalesce("component", "node").alias("component"), F.col("vertex").isNotNull().alias("linked"))
+    return signed.select("doc", "digest"), materialise(found, "text-classes")
 
-    by_text = nodes.join(comp, nodes.node == comp.vertex, "left").select("digest", F.coalesce("component", "node").alias("class_id"))
-    found = signed.select("doc", "digest").join(by_text, "digest").groupBy("doc").agg(F.min("class_id").alias("class_id"))
-    out = rows.select("doc").join(found, "doc", "left")
-    return out.select(F.col("doc").alias(key), F.coalesce("class_id", "doc").alias("class_id"))
+
+def _named(docs: DataFrame, text: str, key: str) -> DataFrame:
+    rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    return rows.where(F.col("doc").isNotNull()).withColumn("digest", F.md5(F.col("t").cast("binary")))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8) -> DataFrame:
+    """Per row: key, class_id (the smallest key among the documents linked to it by chains of near copies)."""
+    kind = docs.schema[key].dataType.simpleString()
+    signed, found = text_classes(_named(docs, text, key), kind, threshold)
+    # Texts of one key are one document's: their components are one class.
+    rows = docs.select(F.col(key).alias("doc"), F.when(F.col(key).isNotNull(), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))).alias("digest"))
+    several = materialise(rows.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc"), "keys")
+    if not several.isEmpty():
+        ends = signed.join(small(several), "doc").distinct().join(found.select("digest", "component"), "digest")
+        ends = ends.join(ends.groupBy("doc").agg(F.min("component").alias("first")), "doc")
+        merged = connected_components(ends.select("component", "first"), "component", "first").select(F.col("vertex").alias("component"), F.col("component").alias("top"))
+        found = found.join(small(materialise(merged, "merged")), "component", "left")
+        found = materialise(found.select("digest", "n", "doc", F.coalesce("top", "component").alias("component"), (F.col("linked") | F.col("top").isNotNull()).alias("linked")), "text-classes")
+    # A text of one row that nothing links is its document's own class.
+    shared = found.where("linked or n > 1")
+    first = materialise(shared.groupBy("component").agg(F.min("doc").alias("class_id")), "class-keys")
+    by_text = materialise(shared.join(small(first), "component").select("digest", "class_id"), "class-texts")
+    out = rows.join(small(by_text), "digest", "left").select("doc", F.coalesce("class_id", "doc").alias("class_id"))
+    if not several.isEmpty():  # a row without words of a key that has other texts is in their class
+        own = out.join(small(several), "doc").groupBy("doc").agg(F.min("class_id").alias("least"))
+        out = out.join(small(materialise(own, "keys")), "doc", "left").select("doc", F.coalesce("least", "class_id").alias("class_id"))
+    return out.select(F.col("doc").alias(key), "class_id")
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8) -> DataFrame:
-    """One document of each class stays, that with the smallest key; all columns stay, and so do rows with a null key."""
-    found = materialise(near_duplicates(docs, text, key, threshold), "classes")
-    gone = found.where(F.col(key) != F.col("class_id")).select(key).distinct()
-    again = found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col(key).isNotNull())
-    kept = docs.join(gone, key, "left_anti").select(*docs.columns)
-    if not again.isEmpty():
-        null = kept.where(F.col(key).isNull())
-        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(null)
-    return kept
+    """One row of each group of near copies stays, that with the smallest key (then the smallest MD5 of the text, then the
+    smallest JSON of the row); all columns stay. It is decided by texts: rows of one key with unlike texts both stay, and
+    so do rows with a null key and texts without a word, unless they repeat key and text."""
+    kind = docs.schema[key].dataType.simpleString()
+    _, found = text_classes(_named(docs, text, key), kind, threshold)
+    shared = found.where("linked or n > 1")
+    first = materialise(shared.groupBy("component").agg(F.min(F.struct("doc", "digest")).alias("x")), "class-keys")
+    # Of each text of a group: the key whose row stays, or null if another text of the group does.
+    by_text = shared.join(small(first), "component").select(F.col("digest").alias("__g"), F.when(F.col("digest") == F.col("x.digest"), F.col("x.doc")).alias("__k"))
+    by_text = small(materialise(by_text.withColumn("__found", F.lit(True)), "class-texts"))
+    names = docs.columns
+    digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(*names, digest.alias("__d")).join(by_text, (F.col("__d") == F.col("__g")) & F.col(key).isNotNull(), "left")
+    kept = rows.where(F.col("__found").isNull() | (F.col(key) == F.col("__k"))).select(*names, "__d")
+    again = materialise(kept.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__a"), F.col("__d").alias("__b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "class-repeats")
+    if again.isEmpty():
+        return kept.select(*names)
+    same = (F.col(key) == F.col("__a")) & (F.col("__d") == F.col("__b"))
+    row = F.struct(*names)
+    one = kept.join(small(again), same).groupBy("__a", "__b").agg(F.min_by(row, F.to_json(row)).alias("x")).select("x.*")
+    return kept.join(small(again), same, "left_anti").select(*names).unionByName(one)
