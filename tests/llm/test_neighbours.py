@@ -43,3 +43,37 @@ def test_bounds_hold_for_long_vectors():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.nearest(df, df).count() == 0
+
+
+def test_very_large_and_very_small_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=8) * 10.0 ** float(p)).tolist()) for i, p in enumerate(rng.choice([160, 153, 0, -160, -300], 120))]
+    rows += [(200 + i, (rng.integers(-3, 4, 8) * 5e-324).tolist()) for i in range(40)]
+    rows += [(300, [1e308] * 8), (301, [1e308, -1e308] * 4), (320, [1e-320, 1e300] * 4), (340, [1.0, 5e-324] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect())
+    good = [(i, v) for i, v in rows if any(v)]
+    want = []
+    for i, a in good:
+        if i % 20 == 0:
+            near = []
+            for j, b in good:
+                if j != i:
+                    s = 0.0
+                    for x, y in zip(a, b):
+                        s += x * y
+                    near.append((0, 0.0, j, s) if s != s else (1, -s, j, s))  # what isn't a number comes first
+            want += [(i, r + 1, j, s) for r, (_, _, j, s) in enumerate(sorted(near, key=lambda x: x[:3])[:20])]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want, key=lambda x: x[:2])]
+    assert all(g[3] == w[3] or (g[3] != g[3] and w[3] != w[3]) for g, w in zip(got, sorted(want, key=lambda x: x[:2])))
+
+
+def test_cells_of_many_blocks_equal_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i % 290, rng.normal(size=12).astype(np.float32).tolist(), i, "x") for i in range(300)]
+    rows += [(7, rows[7][1], 1, "y")] * 200  # a hot id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, tag int, cell string").repartition(4)
+    asked = df.where("vec_id % 20 = 0")
+    one = sorted(tuple(r) for r in neighbours.nearest(df, asked).collect())
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 500)
+    assert sorted(tuple(r) for r in neighbours.nearest(df, asked).collect()) == one and len(one) >= 300

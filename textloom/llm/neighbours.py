@@ -1,15 +1,20 @@
 """Exact nearest neighbours by largest inner product, as a block matrix join.
 
-The queries are a stated set: they reach the tasks in blocks of bounded bytes. A task multiplies int8 tiles of a block
-with its candidates; the products are whole numbers, exact in float32 for runs of up to 1,040 components, so BLAS does
-them. With residuals r = v - s*q of quantisation, |<a,b> - sa*sb*<qa,qb>| <= |a'||rb| + |ra||b| bounds the error of each
-pair. A pair whose upper bound lies under the query's 20th best lower bound so far is out; the surviving pairs are
-recomputed from the original components in double precision. Each task keeps a query's best; heaps merge those of all tasks
-in two steps.
+The queries lie in a written table, cut into blocks of bounded bytes, and the candidates are dealt to blocks as well. A
+task takes one cell (query block, candidate block): it holds the queries and streams the candidates past them. A single
+block of queries, whose bytes are measured first, goes to the tasks instead, so that candidates aren't shuffled. Vectors
+are scaled by powers of two, so that nothing overflows, and multiplied as int8 tiles; the products are whole numbers,
+exact in float32 for runs of up to 1,040 components, so BLAS does them. With residuals r = v - s*q of quantisation,
+|<a,b> - sa*sb*<qa,qb>| <= |a'||rb| + |ra||b| bounds the error of each pair. A pair whose upper bound lies under the
+query's 20th best lower bound so far is out; the surviving pairs, and those whose sum may leave the range of doubles, are
+recomputed from the original components in double precision. Each task keeps a query's best; heaps merge those of all
+tasks in two steps.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, take
 no part. Vectors are compared with vectors of their length only. No row with the query's own id is found. Rows that
-repeat an id are candidates each, and each is a query of its own if its id is a query's. Ties go to the smaller id.
+repeat an id are candidates each, and each is a query of its own if its id is a query's. Ties go to the smaller id. A sum
+that overflows is infinite, or not a number if both signs do; that ranks above all numbers, as in SQL. Other columns of
+the frames play no part.
 """
 
 from __future__ import annotations
@@ -20,10 +25,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm._common import offsets_of, ship
+from textloom.session import materialise
 
 BLOCK_BYTES = 8 << 20
 ROWS = 4096
@@ -36,6 +42,8 @@ class Tile:
     def __init__(self, ids: np.ndarray, v: np.ndarray):
         self.ids, self.v = ids, v
         x = v.astype(np.float64)
+        self.power = np.frexp(np.abs(x).max(1))[1].astype(np.int64)
+        x = np.ldexp(x, -self.power[:, None])  # the largest component lies in [0.5, 1)
         self.scale = np.abs(x).max(1) / 127
         q = np.rint(x / self.scale[:, None])
         self.q = q.astype(np.int8)
@@ -46,7 +54,8 @@ class Tile:
 
 
 def bounds(a: Tile, b: Tile) -> tuple[np.ndarray, np.ndarray]:
-    """Approximate inner products of all pairs, and how far they may be off (rounding of the float32 steps included)."""
+    """Approximate inner products of all pairs, and how far they may be off (rounding included): infinitely, if a sum might
+    overflow."""
     d = a.q.shape[1]
     dot = np.zeros((len(a.ids), len(b.ids)), np.float32 if d <= RUN else np.float64)
     for k in range(0, d, RUN):
@@ -54,35 +63,51 @@ def bounds(a: Tile, b: Tile) -> tuple[np.ndarray, np.ndarray]:
     approx = dot * (a.scale[:, None] * b.scale[None, :])
     err = (a.form_size * (1 + 1e-6))[:, None] * b.rest[None, :] + a.rest[:, None] * b.size[None, :]
     err += 1e-9 * a.size[:, None] * b.size[None, :]
-    return approx, err
+    power = a.power[:, None] + b.power[None, :]
+    wide = power + d.bit_length() + 1 > 1022
+    least = d * 2.0**-1073  # products under the range of doubles are rounded to its last place
+    power = np.where(wide, 0, np.maximum(power, -4000)).astype(np.int32)
+    err = np.ldexp(err, power) + least
+    err[wide] = np.inf
+    return np.ldexp(approx, power), err
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products row by row in double precision, summed from the first component to the last."""
     x, y = np.ascontiguousarray(a.T, np.float64), np.ascontiguousarray(b.T, np.float64)
     out = np.zeros(len(a))
-    for k in range(len(x)):
-        out += x[k] * y[k]
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        for k in range(len(x)):
+            out += x[k] * y[k]
     return out
 
 
+def _order(score: float, i: int) -> tuple[bool, float, int]:
+    """Larger is better: what isn't a number first, then the score, then the smaller id."""
+    return (True, 0.0, -i) if score != score else (False, score, -i)
+
+
+def _score_of(h: tuple[bool, float, int]) -> float:
+    return float("nan") if h[0] else h[1]
+
+
 class Best:
     """The k best (score, id) of every query."""
 
     def __init__(self, n: int, k: int):
         self.k = k
-        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+        self.heaps: list[list[tuple[bool, float, int]]] = [[] for _ in range(n)]
         self.floor = np.full(n, -np.inf)
 
     def add(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         for r, s, i in zip(row.tolist(), score.tolist(), ids.tolist(), strict=True):
-            h = self.heaps[r]
+            h, x = self.heaps[r], _order(s, i)
             if len(h) < self.k:
-                heapq.heappush(h, (s, -i))
-            elif (s, -i) > h[0]:
-                heapq.heapreplace(h, (s, -i))
+                heapq.heappush(h, x)
+            elif x > h[0]:
+                heapq.heapreplace(h, x)
             if len(h) == self.k:
-                self.floor[r] = h[0][0]
+                self.floor[r] = np.inf if h[0][0] else h[0][1]
 
 
 def search(queries: Tile, candidates: Tile, best: Best, rows: np.ndarray) -> None:
@@ -91,13 +116,14 @@ def search(queries: Tile, candidates: Tile, best: Best, rows: np.ndarray) -> Non
         part = Tile.__new__(Tile)
         part.__dict__ = {k: x[at : at + ROWS] for k, x in candidates.__dict__.items()}
         approx, err = bounds(queries, part)
+        low, high = approx - err, approx + err
         own = queries.ids[:, None] == part.ids[None, :]
         floor = best.floor[rows]
         n = len(part.ids)
         if n > best.k + 1:
-            low = np.where(own, -np.inf, approx - err)
+            low[own] = -np.inf
             floor = np.maximum(floor, np.partition(low, n - best.k, axis=1)[:, n - best.k])
-        i, j = np.nonzero((approx + err >= floor[:, None]) & ~own)
+        i, j = np.nonzero(~(high < floor[:, None]) & ~own)
         for s in range(0, len(i), 1 << 18):
             a, b = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
             best.add(rows[a], products(queries.v[a], part.v[b]), part.ids[b])
@@ -129,32 +155,69 @@ def offsets_of_list(a: pa.Array) -> np.ndarray:
 
 
 class Queries:
-    """A block of queries; ``tag`` tells rows of one id apart."""
+    """A block of queries: ids, vectors and the number of each row."""
 
-    def __init__(self, t: pa.Table, block: int):
+    def __init__(self, ids: pa.Array, vectors: pa.Array, tags: pa.Array):
+        self.tiles = _tiles(ids, vectors) if len(ids) else {}
+        self.n, self.ids, self.tags = len(ids), ids.to_numpy(zero_copy_only=False), tags.to_numpy(zero_copy_only=False)
+
+    @staticmethod
+    def of(t: pa.Table) -> Queries:
         t = t.combine_chunks()
-        self.tiles = _tiles(t.column(0).combine_chunks(), t.column(1).combine_chunks()) if t.num_rows else {}
-        self.n, self.block, self.ids = t.num_rows, block, t.column(0).to_numpy()
+        return Queries(*(t.column(c).combine_chunks() if t.num_rows else pa.array([], t.schema.field(c).type) for c in ("i", "v", "tag")))
+
+
+def _meet(queries: Queries, best: Best, ids: pa.Array, vectors: pa.Array) -> None:
+    for d, (_, tile) in (_tiles(ids, vectors) if len(ids) else {}).items():
+        if d in queries.tiles:
+            rows, own = queries.tiles[d]
+            search(own, tile, best, rows)
+
+
+def _found(queries: Queries, best: Best) -> Iterator[pa.RecordBatch]:
+    yield from _rows((int(queries.tags[r]), int(queries.ids[r]), h) for r, h in enumerate(best.heaps) if h)
 
 
 def _search(batches: Iterator[pa.RecordBatch], queries: Queries, k: int) -> Iterator[pa.RecordBatch]:
     best = Best(queries.n, k)
     for batch in batches:
-        for d, (_, tile) in (_tiles(batch.column(0), batch.column(1)) if batch.num_rows else {}).items():
-            if d in queries.tiles:
-                rows, own = queries.tiles[d]
-                search(own, tile, best, rows)
-    yield from _rows(((r, queries.ids[r], h) for r, h in enumerate(best.heaps) if h), queries.block)
+        _meet(queries, best, batch.column(0), batch.column(1))
+    yield from _found(queries, best)
 
 
-def _rows(found, block: int | None = None) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, side, i, v, tag) in order of cell and side: each cell's queries, then its candidates."""
+    now, held, queries, best = None, [], None, None
+    for batch in batches:
+        cell, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cut = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(side) != 0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if a == b:
+                continue
+            part = batch.slice(a, b - a)
+            if cell[a] != now:
+                if best is not None:
+                    yield from _found(queries, best)
+                now, held, queries, best = cell[a], [], None, None
+            if side[a] == 0:
+                held.append(part)
+                continue
+            if best is None:
+                queries = Queries.of(pa.Table.from_batches(held, part.schema))
+                held, best = [], Best(queries.n, k)
+            _meet(queries, best, part.column(2), part.column(3))
+    if best is not None:
+        yield from _found(queries, best)
+
+
+def _rows(found) -> Iterator[pa.RecordBatch]:
     tag, query, vec, score = [], [], [], []
     for r, q, h in found:
         h = sorted(h, reverse=True)
-        tag += [r if block is None else block << 32 | r] * len(h)
+        tag += [r] * len(h)
         query += [q] * len(h)
-        vec += [-i for _, i in h]
-        score += [s for s, _ in h]
+        vec += [-x[2] for x in h]
+        score += [_score_of(x) for x in h]
     if tag:
         yield pa.RecordBatch.from_arrays([pa.array(tag, pa.int64()), pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], names=["tag", "query_id", "vec_id", "score"])
 
@@ -170,9 +233,9 @@ def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
                     done.append((now, query, heap))
                 now, query, heap = t, q, []
             if len(heap) < k:
-                heapq.heappush(heap, (s, -i))
+                heapq.heappush(heap, _order(s, i))
             else:
-                heapq.heappushpop(heap, (s, -i))
+                heapq.heappushpop(heap, _order(s, i))
         if len(done) > 2000:
             yield from _rows(done)
             done = []
@@ -187,24 +250,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     ship(spark)
     pick = lambda df: df.select(F.col(key).cast("long").alias("i"), F.col(vector).alias("v"))
     asked = pick(queries).where(F.col("i").isNotNull() & F.col("v").isNotNull())
-    total = asked.agg(F.sum(F.size("v") * 8 + 32)).first()[0] or 0
+    asked = materialise(asked.withColumn("tag", F.monotonically_increasing_id()), "queries")
+    schema = "tag long, query_id long, vec_id long, score double"
+    total = asked.agg(F.sum(F.size("v") * 8 + 48)).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
-    rows = pick(vectors)
-    found = None
-    for b in range(blocks):  # one block at a time is on the driver
-        got = asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i").toArrow()
-        if got.num_rows:
-            part = rows.mapInArrow(partial(_search, queries=Queries(got, b), k=k), "tag long, query_id long, vec_id long, score double")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
+    if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = pick(vectors)
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if blocks == 1:
+        found = rows.mapInArrow(partial(_search, queries=Queries.of(asked.toArrow()), k=k), schema)
+    else:
+        # Rows of one id, or of one vector, are dealt over all candidate blocks by the tasks that read them.
+        across = max(1, -(-width // blocks))
+        q = F.pmod(F.xxhash64("tag"), F.lit(blocks))
+        left = asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).select((q * across + F.col("c")).alias("cell"), F.lit(0).alias("side"), "i", "v", "tag")
+        c = F.pmod(F.xxhash64("i", "v", F.spark_partition_id()), F.lit(across))
+        right = rows.withColumn("c", c).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select((F.col("q") * across + F.col("c")).alias("cell"), F.lit(1).alias("side"), "i", "v", F.lit(0).cast("long").alias("tag"))
+        cells = left.unionByName(right).repartitionById(blocks * across, F.col("cell").cast("int")).sortWithinPartitions("cell", "side")
+        found = cells.mapInArrow(partial(_cells, k=k), schema)
     merge = partial(_merge, k=k)
-    schema = "tag long, query_id long, vec_id long, score double"
     salted = found.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     first = salted.repartition(width, "tag", "salt").sortWithinPartitions("tag").select("tag", "query_id", "vec_id", "score").mapInArrow(merge, schema)
     last = first.repartition(width, "tag").sortWithinPartitions("tag").mapInArrow(merge, schema)
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.col("score").desc(), "vec_id"))
     return last.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score")
