@@ -62,3 +62,38 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(d, t).collect()] == [99]
     assert decontaminate.contaminated(d, t.limit(0)).count() == 0 and decontaminate.contaminated(d.limit(0), t).count() == 0
     assert decontaminate.drop_contaminated(d, t.limit(0)).count() == 31
+
+
+def test_seeds_in_portions_equal_all_seeds():
+    for n in (1, 2, 40):
+        doc, item = RNG.integers(-1, n, 300), RNG.integers(0, n, 90)
+        runs = {tuple(x) for x in zip(*(a.tolist() for a in decontaminate.runs_of(doc, item, 5)), strict=True)}
+        same = (doc[:, None] == item[None, :]).tolist()
+        want = set()
+        for d in range(300):
+            for i in range(90):
+                if same[d][i] and not (d and i and same[d - 1][i - 1]):
+                    m = 0
+                    while d + m < 300 and i + m < 90 and same[d + m][i + m]:
+                        m += 1
+                    want.add((d, i, m + 4))
+        assert runs == want
+        assert decontaminate.tile(doc, item, 5) == decontaminate.tile(doc, item, 5, portion=7)
+
+
+def test_long_repetitive_texts_take_bounded_memory():
+    import resource
+
+    items = decontaminate.Items([1], pa.array([" ".join(["a", "b"] * 400)]), 5)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = decontaminate._hits(pa.array(["a b " * 20_000, None, "c " * 50]), items, 0.5)
+    assert [g[:3] for g in got] == [(0, 1, 1.0)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_null_and_repeated_keys(spark):
+    text = " ".join(words(30))
+    d = spark.createDataFrame([(None, text), (None, text), (1, text), (1, "unlike"), (2, None)], "doc_id long, text string")
+    t = spark.createDataFrame([(None, text)], "item_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["item_id"], r["coverage"]) for r in decontaminate.contaminated(d, t).collect()) == [(0, None, 1.0)] * 2 + [(1, None, 1.0)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(d, t).collect()) == [1, 2]
