@@ -27,7 +27,7 @@ from textloom.llm.words import U, mix, shingles_of, text_bytes, words_of
 
 PAIRS, CLASSES, MEASURES = 1024, 512, 13
 WIDTH = PAIRS + CLASSES + MEASURES
-#: Labelled rows that the fit reads at most; of more, those whose hashed id is smallest.
+#: Labelled rows that the fit reads at most; of more, those whose hashed id is smallest, also where ids repeat.
 SAMPLE = 6000
 #: Character classes of bytes: lower, upper, digit, blank, line end, stop, other ASCII sign, non-ASCII.
 _CLASS = np.full(256, 6, np.int64)
@@ -72,7 +72,7 @@ def features(column: pa.Array) -> np.ndarray:
     letters = shares[:, 0] + shares[:, 1] + shares[:, 7]
     m[:, 0] = np.log1p(size) / 10
     m[:, 1] = np.log1p(words) / 10
-    m[:, 2] = np.bincount(own, weights=w.end - w.start, minlength=n) / many / 10
+    m[:, 2] = np.log1p(np.bincount(own, weights=w.end - w.start, minlength=n) / many) / 3
     m[:, 3] = _distinct(own, w.hash, n) / many
     m[:, 4] = _distinct(su, sh, n) / np.maximum(np.bincount(su, minlength=n), 1)
     m[:, 5] = shares[:, 1] / np.maximum(letters, 0.01)
@@ -142,16 +142,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, 1_000_000):
-                x = features(piece.column(1)).astype(np.float16)
+                x = features(piece.column(1))
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["k", "y", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(part, f"k {kind}, y int, x binary").limit(4 * sample).toArrow()
+    got = rows.mapInArrow(part, f"k {kind}, y int, x binary").orderBy(F.xxhash64("k"), "k", "y", "x").limit(sample).toArrow()
     if not got.num_rows:
         return neutral()
-    order = [i for _, i in sorted((str(k), i) for i, k in enumerate(got.column("k").to_pylist()))]
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, WIDTH)[order].astype(np.float32)
-    return fit_pairs(x, got.column("y").to_numpy()[order])
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
+    return fit_pairs(x, got.column("y").to_numpy())
 
 
 def _score(batch: pa.RecordBatch, model: Model) -> Iterator[pa.RecordBatch]:
