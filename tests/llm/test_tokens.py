@@ -50,3 +50,28 @@ def test_backtracking_agrees_with_merging_on_random_bytes(library):
         for letters in ("ab", "the ing", "etaoinshrdlu"):
             w = "".join(rng.choice(list(letters.replace(" ", "")), n))
             assert e.encode_word(w.encode()) == library.encode(w, add_special_tokens=False).ids
+
+
+def test_long_pretokens_equal_the_library(library):
+    import time
+
+    import numpy as np
+
+    from textloom.llm.bpe import merge_counts, vocabulary
+
+    v = vocabulary(Source.read(default_vocabulary()))
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list(letters), n)) for n in (256, 257, 1000, 5000) for letters in ("ab", "theing", "etaoinshrdluöé", "a")]
+    words += ["the" * 400, "日本語" * 200, "x", ""]
+    got = merge_counts([w.encode() for w in words], v).tolist()
+    assert got == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    began = time.process_time()
+    long = "".join(rng.choice(list("etaoinshrdluxyz"), 160_000))
+    assert merge_counts([long.encode()], v)[0] == len(library.encode(long, add_special_tokens=False).ids)
+    assert time.process_time() - began < 10
+
+
+def test_null_and_repeated_keys(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (1, "x")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in token_counts.token_counts(df).collect()) == [(0, 2), (0, 2), (1, 0), (1, 1)]
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in bpe_codec.round_trip(df).collect()) == [(0, 2), (0, 2), (1, 0), (1, 1)]

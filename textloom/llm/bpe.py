@@ -7,6 +7,7 @@ text (a few MB at most, checked), so executors need no file. Workers build their
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 from dataclasses import dataclass, field
@@ -123,19 +124,95 @@ def pretokens(text: str, v: Vocabulary) -> list[str]:
     return out
 
 
+LONG = 256  # bytes from which a pre-token is merged by itself
+
+
 def merge_counts(words: list[bytes], v: Vocabulary) -> np.ndarray:
-    """Symbols that are left of each word: all words advance together, each by all places of its lowest-ranked pair."""
+    """Symbols that are left of each word. Short words advance together; a long one looks again at changed places only."""
+    long = [k for k, w in enumerate(words) if len(w) >= LONG]
+    if not long:
+        return _merge_short(words, v)
+    out = np.zeros(len(words), np.int64)
+    for k in long:
+        out[k] = _merge_long(words[k], v)
+    short = [k for k, w in enumerate(words) if len(w) < LONG]
+    if short:
+        out[short] = _merge_short([words[k] for k in short], v)
+    return out
+
+
+def _ranks(a: np.ndarray, b: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Ranks of the pairs of symbols, -1 for those that don't merge."""
+    key = a * v.size + b
+    at = np.searchsorted(v.pair_key, key)
+    at[at == len(v.pair_key)] = 0
+    return np.where(v.pair_key[at] == key, v.pair_rank[at], -1)
+
+
+def _every_other(place: np.ndarray, touching: np.ndarray) -> np.ndarray:
+    """x x x: every other place of a run of touching ones."""
+    if not touching.any():
+        return place
+    start = np.concatenate([[True], ~touching])
+    run = np.maximum.accumulate(np.where(start, np.arange(len(place)), 0))
+    return place[(np.arange(len(place)) - run) % 2 == 0]
+
+
+def _merge_long(word: bytes, v: Vocabulary) -> int:
+    """Symbols that are left of one word: its symbols are chained, and the places of each rank wait under that rank. Each
+    round merges all places of the lowest rank at once and ranks the pairs at both sides of them anew."""
+    n = len(word)
+    sym = np.append(np.frombuffer(word, np.uint8).astype(np.int64), 0)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    rank = np.append(_ranks(sym[: n - 1], sym[1:n], v), [-1, -1])  # of the pair that begins at a place; the end has none
+    waiting: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+
+    def put(place: np.ndarray) -> None:
+        r = rank[place]
+        order = np.argsort(r, kind="stable")
+        r, place = r[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else []
+        for a, b in zip(first, [*first[1:], len(r)], strict=True):
+            if r[a] >= 0:
+                k = int(r[a])
+                if k not in waiting:
+                    waiting[k] = []
+                    heapq.heappush(queue, k)
+                waiting[k].append(place[a:b])
+
+    put(np.arange(n - 1))
+    left = n
+    while queue:
+        low = heapq.heappop(queue)
+        place = np.unique(np.concatenate(waiting.pop(low)))
+        place = place[rank[place] == low]  # pairs that have changed since are gone
+        if not len(place):
+            continue
+        place = _every_other(place, after[place[:-1]] == place[1:])
+        gone = after[place]
+        sym[place] = v.pair_new[low]
+        after[place] = after[gone]
+        before[after[place]] = place
+        rank[gone] = -1
+        left -= len(place)
+        side = before[place]
+        changed = np.unique(np.concatenate([place, side[side >= 0]]))
+        to = after[changed]
+        rank[changed] = np.where(to < n, _ranks(sym[changed], sym[to], v), -1)
+        put(changed)
+    return left
+
+
+def _merge_short(words: list[bytes], v: Vocabulary) -> np.ndarray:
     count = np.array([len(w) for w in words], np.int64)
     out = count.copy()
     sym = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
     seq = np.repeat(np.arange(len(words)), count)
     none = np.int64(1 << 60)
     while len(sym) > 1:
-        key = sym[:-1] * v.size + sym[1:]
-        key[seq[:-1] != seq[1:]] = -1
-        at = np.searchsorted(v.pair_key, key)
-        at[at == len(v.pair_key)] = 0
-        rank = np.append(np.where(v.pair_key[at] == key, v.pair_rank[at], none), none)
+        rank = _ranks(sym[:-1], sym[1:], v)
+        rank = np.append(np.where((rank < 0) | (seq[:-1] != seq[1:]), none, rank), none)
         first = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
         low = np.minimum.reduceat(rank, first)
         live = low < none
@@ -144,10 +221,7 @@ def merge_counts(words: list[bytes], v: Vocabulary) -> np.ndarray:
         if not hit.any():
             break
         place = np.flatnonzero(hit)
-        if len(place) > 1 and (np.diff(place) == 1).any():  # x x x: every other place of a run of touching ones
-            start = np.concatenate([[True], np.diff(place) != 1])
-            run = np.maximum.accumulate(np.where(start, np.arange(len(place)), 0))
-            place = place[(np.arange(len(place)) - run) % 2 == 0]
+        place = _every_other(place, np.diff(place) == 1)
         sym[place] = v.pair_new[rank[place]]
         keep = np.repeat(live, size)
         keep[place + 1] = False
