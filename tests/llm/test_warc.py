@@ -62,3 +62,11 @@ def test_broken_and_cut_files_give_the_records_up_to_the_break(spark, tmp_path):
 
 def test_no_rows(spark, tmp_path):
     assert warc.digests(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e").count() == 0
+
+
+def test_clashing_columns_and_repeated_keys(spark, tmp_path):
+    rows = [(1, "u", "a", "x", 0, "k"), (1, "u", "a", "x", 0, "k"), (1, "u", "b", "y", 1, "k"), (2, "u", "a", "z", 2, "k"), (3, None, "", None, 3, None), (4, "u", "long " * 200_000, "x", 4, "k")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, d string, top int, file string")
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.digests(df, f"file://{tmp_path}/c").collect()), key=str)
+    want = [(1, 1, "revisit", 2), (1, 1, "revisit", 2), (1, 1, "response", None), (2, 1, "response", None), (3, 0, "response", None), (4, 1_000_000, "response", None)]
+    assert got == sorted(want, key=str)

@@ -97,8 +97,9 @@ def bytes_of(df: DataFrame) -> int:
 
 def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
     """``df``, marked to be sent to all tasks if its rows are proved to take ``most`` bytes at most; beyond that the
-    optimizer's joins take over. Give a frame that is written already, as it is measured first."""
-    return F.broadcast(df) if bytes_of(df) <= most else df
+    a sort-merge join takes over, as the optimizer's own rule counts compressed bytes. Give a frame that is written
+    already, as it is measured first."""
+    return F.broadcast(df) if bytes_of(df) <= most else df.hint("merge")
 
 
 def offsets_of(a: pa.Array) -> np.ndarray:

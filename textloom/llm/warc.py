@@ -30,15 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._common import arrow_map, ship
+from textloom.llm._common import SMALL_BYTES, arrow_map, bytes_of, ship, small
 from textloom.session import materialise
 
 MAGIC = "WARC/1."
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 URN, NULL_URN = "urn:record:", "urn:record-null:"
-MAX_BLOCKS = 200_000
-MAX_DIGESTS = 500_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -59,9 +57,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     groups = rows.groupBy("d").agg(F.max("k").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("d").alias("gd"), "top")
     groups = materialise(groups, "revisited")
     # Few repeated digests go to the tasks, in a few passes if need be, so payloads aren't shuffled; many are joined by key.
-    passes = -(-groups.count() // MAX_DIGESTS) or 1
+    passes = -(-bytes_of(groups) // SMALL_BYTES) or 1
     if passes > 4:
-        _write(rows.join(groups, F.col("d") == F.col("gd"), "left"), path, date)
+        _write(rows.join(groups.hint("merge"), F.col("d") == F.col("gd"), "left"), path, date)
         return
     for k in range(passes):
         part = lambda c, k=k: F.pmod(F.xxhash64(c), F.lit(passes)) == k
@@ -162,22 +160,28 @@ def reachable(spark: SparkSession, path: str) -> DataFrame:
     found = materialise(sized.mapInArrow(_condense, "file string, block long, at long, leave long, last long, candidate boolean"), "warc")
     order = Window.partitionBy("file").orderBy("block")
     blocks = found.where("not candidate").select("file", "block", F.coalesce(F.sum("leave").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    # Blocks are numbered; records go by their offset within the file of their block, whose number is its first block's.
+    blocks = materialise(blocks.withColumn("no", F.monotonically_increasing_id()), "warc-blocks")
+    blocks = materialise(blocks.withColumn("f", F.min("no").over(Window.partitionBy("file"))), "warc-blocks")
     # A block's first piece stands at base; in a file's first block it stands at 0 with no magic before it.
-    cand = found.where("candidate").join(blocks, ["file", "block"]).select("file", "block", "base", (F.col("base") + F.col("at")).alias("at"), (F.col("base") + F.col("leave")).alias("leave"), (F.col("base") + F.col("last")).alias("last"))
-    cand = materialise(cand, "warc")
-    doors = cand.select("file", F.col("leave").alias("at")).union(blocks.where("block = 0").select("file", F.lit(0).cast("long"))).distinct()
-    nodes = materialise(doors.join(cand, ["file", "at"]).select("file", "at", "leave"), "warc")
-    seen = materialise(nodes.where("at = 0").select("file", "at"), "warc")
-    hop = nodes.join(nodes.select("file", F.col("at").alias("leave")), ["file", "leave"]).select("file", "at", "leave")
+    cand = found.where("candidate").join(small(blocks), ["file", "block"])
+    cand = materialise(cand.select("f", "no", (F.col("base") + F.col("at")).alias("at"), (F.col("base") + F.col("leave")).alias("leave"), (F.col("base") + F.col("last")).alias("last")), "warc")
+    # Of the candidates only those at which a chain enters a block matter from here on: one or a few a block, unless
+    # payloads hold many magics.
+    doors = cand.select("f", F.col("leave").alias("at")).union(blocks.where("block = 0").select("f", F.lit(0).cast("long"))).distinct()
+    nodes = materialise(cand.join(doors.hint("merge"), ["f", "at"]), "warc")
+    jumps = small(nodes.select("f", F.col("at").alias("leave")))
+    seen = nodes.where("at = 0").select("f", "at")
+    hop = nodes.join(jumps, ["f", "leave"]).select("f", "at", "leave")
     while True:  # pointer jumping: each round doubles the length of all jumps
         hop = materialise(hop, "warc")
         if hop.isEmpty():
             break
-        step = seen.join(hop, ["file", "at"]).select("file", F.col("leave").alias("at"))
+        step = seen.join(small(hop), ["f", "at"]).select("f", F.col("leave").alias("at"))
         seen = materialise(seen.union(step).distinct(), "warc")
-        hop = hop.join(hop.select("file", F.col("at").alias("leave"), F.col("leave").alias("next")), ["file", "leave"]).select("file", "at", F.col("next").alias("leave"))
-    enter = cand.join(seen, ["file", "at"]).select("file", "block", F.col("at").alias("enter"), "last")
-    out = blocks.join(enter, ["file", "block"], "left")
+        hop = hop.join(small(hop.select("f", F.col("at").alias("leave"), F.col("leave").alias("next"))), ["f", "leave"]).select("f", "at", F.col("next").alias("leave"))
+    enter = materialise(nodes.join(small(materialise(seen, "warc")), ["f", "at"]).select("no", F.col("at").alias("enter"), "last"), "warc")
+    out = blocks.join(small(enter), "no", "left")
     return materialise(out.select("file", "block", "base", "enter", F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("owner")), "warc")
 
 
@@ -285,8 +289,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     payload_bytes, digest (of the payload read; null for revisits) and, if asked for, payload."""
     ship(spark)
     blocks = reachable(spark, path)
-    # A block needs three numbers: a bounded number of blocks goes to the tasks at a time, file by file beyond that.
-    groups = -(-blocks.count() // MAX_BLOCKS) or 1
+    # A block needs three numbers: blocks of bounded bytes go to the tasks at a time, file by file beyond that.
+    groups = -(-bytes_of(blocks) // SMALL_BYTES) or 1
     walked = None
     for g in range(groups):
         own = F.pmod(F.xxhash64("file"), F.lit(groups)) == g
