@@ -72,3 +72,39 @@ def test_keys_without_a_digit_are_found(spark):
     df = spark.createDataFrame([(k, f"see {s} there") for k, s in enumerate(secrets)], "doc_id int, text string")
     got = {r["doc_id"]: r["e"] for r in df.select("doc_id", pii.entities(F.col("text")).alias("e")).collect()}
     assert got == {k: [s] for k, s in enumerate(secrets)}
+
+
+def test_given_names_alone_and_one_person_behind_two_titles(spark):
+    rows = [(1, "Mrs. Mary Jones called. Later Jones said that Mary was ill. MARY'S friend"), (2, "Dr. Mary Jones and Mrs. Mary Jones, but Mr. John Mary too"), (3, "My name is Peter Brook, and Brook is here.")]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    one = re.fullmatch(r"Mrs\. (\S+) (\S+) called\. Later (\S+) said that (\S+) was ill\. (\S+)'S friend", got[1])
+    assert one and one[1] == one[4] and one[2] == one[3] and one[5] == one[1].upper() and one[1] in pii.GIVEN_FEMALE
+    two = re.match(r"Dr\. (\S+) (\S+) and Mrs\. (\S+) (\S+), but", got[2])
+    assert (two[1], two[2]) == (two[3], two[4]) == (one[1], one[2])
+    assert not re.search("peter|brook", got[3].lower()) and got[3].startswith("My name is ")
+
+
+def test_names_keep_their_script(spark):
+    rows = [(1, "κύριος Νίκος Παπαδόπουλος ήρθε. Ο Παπαδόπουλος έφυγε."), (2, "Mr. 王伟明 is here; 王伟明 left."), (3, "昨天王小明先生说王小明会来"), (4, "Mr. דוד כהן and Dr. محمد"), (5, "Mrs. 김민지, 山田さん"), (6, "г-жа Анна Петрова")]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for gone in ("Νίκος Παπ", "Παπαδόπουλος", "王伟明", "王小明", "דוד", "כהן", "محمد", "김민지", "山田", "Анна П", "Петрова"):
+        assert not any(gone in t for t in got.values()), gone
+    one = re.fullmatch(r"κύριος ([\u0370-\u03ff]+) ([\u0370-\u03ff]+) ήρθε\. Ο ([\u0370-\u03ff]+) έφυγε\.", got[1])
+    assert one[1] in pii.GREEK_MALE and one[2] == one[3]
+    two = re.fullmatch(r"Mr\. ([\u4e00-\u9fff]{3}) is here; ([\u4e00-\u9fff]{3}) left\.", got[2])
+    assert two[1] == two[2] and set(two[1][1:]) <= set(pii.HAN_MALE)
+    three = re.fullmatch(r"昨天([\u4e00-\u9fff]{3})先生说([\u4e00-\u9fff]{3})会来", got[3])
+    assert three[1] == three[2]
+    assert re.fullmatch(r"Mr\. [\u05d0-\u05ea]{3} [\u05d0-\u05ea]{3} and Dr\. [\u0620-\u064a]{4}", got[4])
+    assert re.fullmatch(r"Mrs\. [\uac00-\ud7a3]{3}, [\u4e00-\u9fff]{2}さん", got[5])
+    assert re.fullmatch(r"г-жа (\S+) [А-Яа-я]+", got[6])[1] in pii.CYRILLIC_FEMALE
+
+
+def test_numbers_that_are_no_cards_stay_and_national_phones_go(spark):
+    rows = [(1, "number 4381893557741608 and 4111111111111111"), (2, "number 4381893557741608"), (3, "my visa: 4381893557741608"), (4, "call 020 7946 0958 or 01 23 45 67 89 or 0171 1234567"), (5, "in 2024 we had 0846248622952057 rows")]
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.replace(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert "4381893557741608" in got[1][0] and "4111111111111111" not in got[1][0] and got[1][1] == 1
+    assert got[2] == (rows[1][1], 0) and got[5] == (rows[4][1], 0)
+    assert re.fullmatch(r"my visa: 4\d{15}", got[3][0]) and got[3][0] != rows[2][1]
+    assert re.fullmatch(r"call 02\d \d{4} \d{4} or 0\d( \d\d){4} or 01\d\d \d{7}", got[4][0]) and got[4][1] == 3
+    assert not any(x in got[4][0] for x in ("7946 0958", "23 45 67", "1234567"))
