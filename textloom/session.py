@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="textloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -46,6 +50,13 @@ def _own_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the application's folder, which goes when the application ends."""
+    if not getattr(spark.sparkContext, "_textloom_folder", False):
+        path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        spark.sparkContext._textloom_folder = True
     return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -67,17 +78,74 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._textloom_path = path
+    for paths in getattr(_open, "scopes", []):
+        paths.append(path)
     return out
 
 
+_open = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What this thread materialises within is deleted at the end, but for the paths that are taken out of the list."""
+    scopes = _open.scopes = getattr(_open, "scopes", [])
+    paths: list[str] = []
+    scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        scopes[:] = [x for x in scopes if x is not paths]
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame that ``materialise`` returned; nothing may read it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._textloom_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._textloom_path)
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int) -> None:
+    """Arrow batches of this session take ``most`` bytes at most until ``forget``; a smaller setting stays. Frames are run
+    after the function that made them, so the setting has to outlive it."""
+    now = spark.conf.get(_BATCH)
+    if now.rstrip("b").isdigit() and int(now.rstrip("b")) > most:
+        spark.sparkContext._textloom_batch = now
+        spark.conf.set(_BATCH, f"{most}b")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once an application, so that workers import it by name wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_textloom_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="textloom-pkg-")  # read by the driver only, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    own = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(folder, "textloom_pkg.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(own):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.join("textloom", os.path.relpath(full, own)))
+    sc.addPyFile(path)
+    sc._textloom_shipped = True
 
 
 def forget(spark: SparkSession) -> None:
-    """Delete all tables that this application has written in between; call it when no frame is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all tables that this application has written in between, and give the session its batch size back; call it
+    when no frame is read any more."""
+    _delete(spark, _own_dir(spark))
+    before = getattr(spark.sparkContext, "_textloom_batch", None)
+    if before is not None:
+        spark.conf.set(_BATCH, before)
+        spark.sparkContext._textloom_batch = None

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,29 +11,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from textloom.functions.text import strip
 from textloom.operators.ingest import require, require_rows
+from textloom.session import ship_package
 
 RAW_FIELDS = ("id", "source_id", "adv_source_id", "model", "decoding", "repetition_penalty", "attack", "domain", "title", "prompt", "generation")
 ASSIGNMENT_FIELDS = ("record_id", "group_id", "label", "split", "source_id", "adv_source_id", "model", "domain", "attack", "decoding", "repetition_penalty", "text_length", "text_hash")
 PREFERRED_CSV = ("train.csv", "raid_train_sample.csv", "raid.csv")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, for functions that run in Python there."""
-    sc = spark.sparkContext
-    if getattr(sc, "_textloom_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="textloom-pkg-"), "textloom_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("textloom", os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    sc._textloom_shipped = True
-
-
 def read_csv(spark: SparkSession, path: str | list[str], required: set[str] = frozenset({"id", "model"}), max_rows: int | None = None) -> DataFrame:
     """CSV with a header, quoted fields over several lines, doubled quotes; every value is text. ``.gz`` is read as such."""
     df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
