@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,29 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+from textloom.session import bound_batches, ship_package
+
 BATCH_BYTES = 8 << 20
-_PKG = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that workers import it by name wherever they run."""
-    sc = spark.sparkContext
-    # Arrow batches of whole texts shall take bounded memory on both sides; a smaller setting of the session stays.
-    now = spark.conf.get(_BATCH).rstrip("b")
-    if now.isdigit() and int(now) > BATCH_BYTES:
-        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
-    if getattr(sc, "_textloom_shipped", False):
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="textloom-pkg-"), "textloom_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(_PKG):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("textloom", os.path.relpath(full, _PKG)))
-    sc.addPyFile(path)
-    sc._textloom_shipped = True
+    """Workers import this package by name, and Arrow batches of whole texts take bounded memory on both sides."""
+    bound_batches(spark, BATCH_BYTES)
+    ship_package(spark)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema, limit: int = 1_000_000) -> DataFrame:
