@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import bpe_codec, decontaminate, langid, line_dedup, minhash
 from textloom.llm._common import table
-from textloom.session import materialise
+from textloom.session import discard, materialise, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage over what the others keep. A stage's tables go once its result is written, and a result goes once the
+    next one is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as paths:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            paths.remove(docs._textloom_path)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
