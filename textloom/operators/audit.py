@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.stable import sha256
+from textloom.functions.stable import sha256, stable_rank
 from textloom.functions.text import preview, strip
 from textloom.operators.ingest import audit_label, column, first_text
 
@@ -35,6 +35,42 @@ def missing_fields(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return gaps.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("missing")) for f in fields])).alias("x")).select("x.*").where("missing > 0")
 
 
+def observed_fields(rows: DataFrame, json: str | None = None) -> DataFrame:
+    """(field): the distinct keys that rows have; of the JSON objects in column ``json`` if one is named, else the columns."""
+    if json is None:
+        return rows.sparkSession.createDataFrame([(c,) for c in sorted(rows.columns)], "field string")
+    return rows.select(F.explode(F.json_object_keys(F.col(json))).alias("field")).distinct()
+
+
+def shuffled(rows: DataFrame, key: str, limit: int | None = None, seed: int = 42) -> DataFrame:
+    """The rows, or the first ``limit``, in an order that looks random and that ``seed`` fixes: by stable hash of the key,
+    over all rows and not within a buffer of them."""
+    ordered = rows.orderBy(stable_rank(F.col(key).cast("string"), seed), key)
+    return ordered.limit(limit) if limit else ordered
+
+
+def first_per_label(rows: DataFrame, n: int, position: str, label: str = "label") -> DataFrame:
+    """The first ``n`` rows of each of the labels 0 and 1; fails if one has fewer."""
+    first = F.row_number().over(Window.partitionBy(label).orderBy(position))
+    out = rows.where(F.col(label).isin(0, 1)).withColumn("__k", first).where(F.col("__k") <= n).drop("__k")
+    found = {r[label]: r["n"] for r in out.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = {y: found.get(y, 0) for y in (0, 1) if found.get(y, 0) < n}
+    if short:
+        raise ValueError(f"{n} rows of each label are needed, found {short}")
+    return out
+
+
+def as_dicts(rows: DataFrame) -> DataFrame:
+    """(json): each row as a JSON object of its columns, nulls included."""
+    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def flat(nested: Column) -> Column:
+    """The list inside a list of one list, null for none; lists of several fail."""
+    at = F.when(F.size(nested) > 1, F.raise_error(F.lit("a list of several lists")).cast("int")).otherwise(0)
+    return F.when(F.size(nested) > 0, F.get(nested, at))
+
+
 def _distinct(c: Column) -> Column:
     return F.count_distinct(F.when(c != "", c))
 

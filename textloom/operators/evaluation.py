@@ -36,16 +36,48 @@ def roc_auc(scored: DataFrame, buckets: int = 1024) -> DataFrame:
     return wins.select(F.round(F.when((F.col("p") == 0) | (F.col("n") == 0), 0.0).otherwise(F.col("w") / F.greatest(F.col("p") * F.col("n"), F.lit(1))), 6).alias("auc"))
 
 
+def _running(scored: DataFrame, buckets: int = 1024) -> DataFrame:
+    """Each distinct score with tp and fp, the positives and negatives of that score and above, and pos, neg, P, N. Sums run
+    in two steps, buckets of scores and within, so no task sorts all scores."""
+    steps = _by_score(scored).withColumn("b", F.floor(F.col("score") * buckets))
+    per = steps.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
+    above = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    per = per.select("b", zero(F.sum("bp").over(above)).alias("ap"), zero(F.sum("bn").over(above)).alias("an"))
+    total = scored.agg(F.count_if(F.col("label") == 1).alias("P"), F.count_if(F.col("label") == 0).alias("N"))
+    w = Window.partitionBy("b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = steps.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)}).join(per, "b").join(F.broadcast(total))  # one row
+    return out.select("score", "pos", "neg", (F.col("tp") + F.col("ap")).alias("tp"), (F.col("fp") + F.col("an")).alias("fp"), "P", "N")
+
+
 def threshold_under_fpr(scored: DataFrame, max_fpr: float = 0.05) -> DataFrame:
     """(threshold, tpr, fpr): the lowest score whose false positive rate stays within ``max_fpr``."""
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = scored.agg(F.count_if(F.col("label") == 1).alias("P"), F.count_if(F.col("label") == 0).alias("N"))
-    run = _by_score(scored).withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)}).join(F.broadcast(total))
-    ok = run.withColumns({"tpr": F.col("tp") / F.greatest("P", F.lit(1)), "fpr": F.col("fp") / F.greatest("N", F.lit(1))}).where(F.col("fpr") <= max_fpr)
+    ok = _running(scored).withColumns({"tpr": F.col("tp") / F.greatest("P", F.lit(1)), "fpr": F.col("fp") / F.greatest("N", F.lit(1))}).where(F.col("fpr") <= max_fpr)
     best = ok.agg(F.min_by(F.struct("score", "tpr", "fpr"), "score").alias("x"))
     return best.select(F.round("x.score", 6).alias("threshold"), F.round("x.tpr", 6).alias("tpr"), F.round("x.fpr", 6).alias("fpr"))
 
 
+def average_precision(scored: DataFrame) -> DataFrame:
+    """(pr_auc): the area under precision and recall, as the sum of precision over the steps of recall; 0 without positives."""
+    step = F.col("pos") / F.greatest("P", F.lit(1)) * F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1))
+    return _running(scored).agg(F.round(F.coalesce(F.sum(step), F.lit(0.0)), 6).alias("pr_auc"))
+
+
+def miss_rates(predicted: DataFrame) -> DataFrame:
+    """(fpr, fnr): the shares of class 0 called 1 and of class 1 called 0; 0 for a class without rows."""
+    y, p = F.col("label"), F.col("predicted")
+    share = lambda a, b: F.round(F.count_if(a) / F.greatest(F.count_if(b), F.lit(1)), 6)
+    return predicted.agg(share((y == 0) & (p == 1), y == 0).alias("fpr"), share((y == 1) & (p == 0), y == 1).alias("fnr"))
+
+
+def length_bucket(length, edges: tuple[int, ...] = (128, 256, 512, 1024, 2048)):
+    """The name of a length's bucket: ``<128``, ``128-255``, ..., ``>=2048``."""
+    out = F.lit(f">={edges[-1]}")
+    for k in range(len(edges) - 1, -1, -1):
+        out = F.when(length < edges[k], f"<{edges[0]}" if k == 0 else f"{edges[k - 1]}-{edges[k] - 1}").otherwise(out)
+    return out
+
+
 def slices(predicted: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     """(dimension, value, rows, accuracy), all dimensions in one pass."""
     cells = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("missing")).alias("value")) for d in dims])

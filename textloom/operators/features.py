@@ -8,21 +8,22 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import burstiness, entropy, rttr, word_stats
 from textloom.operators import vocabulary
 
 NAMES = ("pmi_score", "burstiness", "rttr", "entropy")
 
 
 def statistical(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` with burstiness, rttr and entropy; words are found once."""
-    full = F.coalesce(F.col(text), F.lit(""))
-    out = rows.withColumns({"burstiness": burstiness(full), "__s": word_stats(full)})
-    return out.withColumns({"rttr": rttr(F.col("__s")), "entropy": entropy(F.col("__s"))}).drop("__s")
+    """``rows`` with burstiness, rttr and entropy; words are found once. Texts without words have 0 everywhere."""
+    return vocabulary.measured(rows, text, None, True)
 
 
 def extract(rows: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
-    return statistical(vocabulary.score(rows, words, text=text), text)
+    """``rows`` with all four features, in one pass if the vocabulary can be sent to the tasks."""
+    weights = vocabulary.weights_of(words)
+    if weights is None:
+        return statistical(vocabulary.score(rows, words, text=text), text)
+    return vocabulary.measured(rows, text, weights, True)
 
 
 def class_averages(featured: DataFrame, position: str, first: int = 1000, label: str = "label") -> DataFrame:

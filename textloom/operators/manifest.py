@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.stable import sha256, shard
@@ -18,11 +18,26 @@ DIMENSIONS = ("label", "model", "domain", "attack")
 def kept(records: DataFrame, order: tuple[str, ...] = ("record_id",)) -> DataFrame:
     """Of each text the first record in ``order``; texts with contradictory labels give none.
 
-    One exchange on the text hash serves both windows; texts travel once.
+    The first record and the labels' range come from partial aggregation, so a text that fills a third of the rows is one
+    row of each task before the exchange.
     """
-    same = Window.partitionBy("text_hash")
-    first = F.row_number().over(same.orderBy(*order))
-    return records.withColumns({"__n": first, "__a": F.min("label").over(same), "__b": F.max("label").over(same)}).where("__n = 1 and __a = __b").drop("__n", "__a", "__b")
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in records.columns if c != "text_hash"]), F.struct(*order))
+    found = records.groupBy("text_hash").agg(first.alias("x"), F.min("label").alias("a"), F.max("label").alias("b")).where("a = b")
+    return found.select(*[F.col(c) if c == "text_hash" else F.col("x")[c].alias(c) for c in records.columns])
+
+
+def refuse_repeated_ids(records: DataFrame) -> None:
+    """Fail if a record id repeats; an action, before anything is written."""
+    again = records.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect()
+    if again:
+        raise ValueError(f"record ids repeat: {[r['record_id'] for r in again]}")
+
+
+def kept_in_arrival_order(records: DataFrame, position: str) -> DataFrame:
+    """What a stream keeps that takes the first row of each text and gives it back at the text's first contradiction; ids
+    that repeat are refused."""
+    refuse_repeated_ids(records)
+    return kept(records, (position,))
 
 
 def _by_text(records: DataFrame) -> DataFrame:
@@ -45,15 +60,23 @@ def stats(raw: DataFrame, records: DataFrame) -> DataFrame:
 def stats_in_arrival_order(raw: DataFrame, records: DataFrame, position: str) -> DataFrame:
     """The same totals for a stream that keeps what it sees first: duplicates before a text's first contradiction count
     as duplicates, and all that follows the contradiction, with the row kept until then, as conflicting."""
-    w = Window.partitionBy("text_hash").orderBy(position)
-    first = F.first("label").over(w)
-    marked = records.select("text_hash", F.max((F.col("label") != first).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("broken"))
-    by_text = marked.groupBy("text_hash").agg(F.count_if(F.col("broken") == 0).alias("before"), F.count_if(F.col("broken") == 1).alias("after"))
-    total = by_text.agg(
-        F.count_if(F.col("after") == 0).alias("rows_kept"),
-        F.coalesce(F.sum(F.col("before") - 1), F.lit(0)).alias("duplicate_texts_removed"),
-        F.count_if(F.col("after") > 0).alias("conflicting_texts_removed"),
-        F.coalesce(F.sum(F.when(F.col("after") > 0, F.col("after") + 1)), F.lit(0)).alias("conflicting_rows_removed"),
+    per = records.groupBy("text_hash", "label").agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("p"))
+    by_text = per.groupBy("text_hash").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("p")).alias("p"))  # a place for each label
+    by_text = materialise(by_text.select("text_hash", "n", F.get("p", F.lit(1)).alias("broken")), "texts-by-label")
+    broken = by_text.where("broken is not null").select("text_hash", "broken")
+    before = records.select("text_hash", F.col(position).alias("at")).join(broken, "text_hash").where("at < broken").agg(F.count(F.lit(1)).alias("before"))
+    sums = by_text.agg(
+        F.count_if(F.col("broken").isNull()).alias("rows_kept"),
+        F.count(F.lit(1)).alias("texts"),
+        F.coalesce(F.sum(F.when(F.col("broken").isNull(), F.col("n"))), F.lit(0)).alias("whole"),
+        F.count_if(F.col("broken").isNotNull()).alias("conflicting_texts_removed"),
+        F.coalesce(F.sum(F.when(F.col("broken").isNotNull(), F.col("n"))), F.lit(0)).alias("split"),
+    )
+    total = sums.join(F.broadcast(before)).select(  # two single rows
+        "rows_kept",
+        (F.col("whole") + F.col("before") - F.col("texts")).alias("duplicate_texts_removed"),
+        "conflicting_texts_removed",
+        (F.col("split") - F.col("before") + F.col("conflicting_texts_removed")).alias("conflicting_rows_removed"),
     )
     seen = raw.agg(F.count(F.lit(1)).alias("rows_seen"), F.count_if(is_blank(raw_text(raw))).alias("empty_rows_removed"))
     return total.join(F.broadcast(seen))  # two single rows

@@ -35,12 +35,14 @@ def summarize(rows: DataFrame) -> DataFrame:
     )
 
 
-def target_human(total: int, human: int, target_rows: int, fraction: float) -> int:
+def target_human(total: int, human: int, target_rows: int, fraction: float, ai: int | None = None) -> int:
     if target_rows < 2 or not 0 < fraction < 1:
         raise ValueError("target_rows must be 2 at least and the fraction between 0 and 1")
     want = min(round(min(target_rows, total) * fraction), human)
     if want < 1:
         raise ValueError("no human rows to select")
+    if ai is not None and ai < 1:
+        raise ValueError("no AI rows to select")
     return want
 
 
@@ -51,10 +53,14 @@ def select_groups(summaries: DataFrame, target_rows: int = 10_000, fraction: flo
     of equal human rows and coverage differ in their id only; the driver sees these classes, and of each at most as many
     of the first ids as there can be steps.
     """
-    t = summaries.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.coalesce(F.sum("human"), F.lit(0)).alias("h")).first()
-    goal = target_human(t["n"], t["h"], target_rows, fraction)
+    t = summaries.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.coalesce(F.sum("human"), F.lit(0)).alias("h"), F.coalesce(F.sum("ai"), F.lit(0)).alias("a")).first()
+    goal = target_human(t["n"], t["h"], target_rows, fraction, t["a"])
+    # Most groups may be alike: the first ids of each of 64 parts of a class, then the first of those.
+    most = F.ceil(F.lit(goal) / F.col("human"))
+    part = Window.partitionBy("human", "coverage", F.pmod(F.xxhash64("group_id"), F.lit(64))).orderBy("group_id")
     alike = Window.partitionBy("human", "coverage").orderBy("group_id")
-    heads = summaries.where("human > 0").withColumn("k", F.row_number().over(alike)).where(F.col("k") <= F.ceil(F.lit(goal) / F.col("human")))
+    heads = summaries.where("human > 0").withColumn("k", F.row_number().over(part)).where(F.col("k") <= most)
+    heads = heads.withColumn("k", F.row_number().over(alike)).where(F.col("k") <= most)
     classes: dict[tuple, list[str]] = {}
     for r in heads.select("group_id", "human", "coverage").toLocalIterator():
         classes.setdefault((r["human"], frozenset((c["kind"], c["value"]) for c in r["coverage"])), []).append(r["group_id"])
@@ -78,6 +84,13 @@ def select_groups(summaries: DataFrame, target_rows: int = 10_000, fraction: flo
     return summaries.sparkSession.createDataFrame([(g,) for g in taken], "group_id string")
 
 
+def summary(rows: DataFrame, selected: DataFrame, pilot_rows: DataFrame) -> dict:
+    """Counts of the source, the selected groups and the sample, for a report."""
+    one = lambda df: df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label").cast("string") == "0").alias("human"), F.count_if(F.col("label").cast("string") == "1").alias("ai"), F.count_distinct("group_id").alias("groups")).first().asDict()
+    by = lambda c: {r[c]: r["n"] for r in pilot_rows.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c)).agg(F.count(F.lit(1)).alias("n")).orderBy(c).toLocalIterator()}
+    return {"source": one(rows), "selected_groups": selected.count(), "pilot": one(pilot_rows), "counts": {c: by(c) for c in ("model", "domain", "attack")}}
+
+
 def overlap(selected: DataFrame, others: DataFrame) -> DataFrame:
     """(split, shared): selected groups that occur in another split; both other splits appear."""
     spark = selected.sparkSession

@@ -55,7 +55,16 @@ def id_sets_differ(ids: DataFrame, assignments: DataFrame) -> DataFrame:
 
 
 def finished(joined: DataFrame) -> DataFrame:
-    return joined.select("record_id", "text", "label", "group_id", "split", "source_id", "adv_source_id", "model", "domain", "attack", "decoding", "repetition_penalty", "text_length", "text_hash")
+    """The joined rows in their final columns; an absent attack is ``none``."""
+    attack = F.coalesce(F.col("attack"), F.lit("none")).alias("attack")
+    return joined.select("record_id", "text", "label", "group_id", "split", "source_id", "adv_source_id", "model", "domain", attack, "decoding", "repetition_penalty", "text_length", "text_hash")
+
+
+def summary(done: DataFrame, assignments: DataFrame) -> dict:
+    """What a report of a finished join says: rows asked for and joined, labels, and lengths of the texts."""
+    labels = {str(r["label"]): r["n"] for r in done.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()}
+    length = done.agg(F.min("text_length").alias("min"), F.max("text_length").alias("max"), F.round(F.avg("text_length"), 2).alias("mean")).first().asDict()
+    return {"assignments": assignments.count(), "joined": sum(labels.values()), "labels": labels, "text_length": length, "mismatches": {}}
 
 
 def validated(raw: DataFrame, assignments: DataFrame) -> DataFrame:

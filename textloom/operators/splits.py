@@ -19,6 +19,8 @@ from textloom.functions.stable import stable_rank
 from textloom.session import materialise
 
 ORDER = ("train", "validation", "test")
+#: Groups whose ids the driver shuffles at most.
+MAX_SHUFFLED = 1_000_000
 RATIOS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
@@ -62,8 +64,9 @@ def _stream(batches: Iterator[pa.RecordBatch], total, ratios, state, objective:
         yield pa.RecordBatch.from_arrays([b.column("group_id"), pa.array([sums.choose(g, objective) for g in rows], pa.string())], names=["group_id", "split"])
 
 
-def assign_splits(groups: DataFrame, seed: int = 42, ratios: dict[str, float] | None = None, objective: str = "cost") -> DataFrame:
-    """(group_id, split) for groups of (group_id, size, human, ai); larger groups first, ties in stable-hash order.
+def assign_splits(groups: DataFrame, seed: int = 42, ratios: dict[str, float] | None = None, objective: str = "cost", order: str = "hash") -> DataFrame:
+    """(group_id, split) for groups of (group_id, size, human, ai); larger groups first, ties in stable-hash order, or, with
+    ``order="shuffle"``, in the order of a seeded Mersenne Twister shuffle of the sorted ids (of MAX_SHUFFLED at most).
 
     Each split opens with the group that comes closest to its targets. ``objective="delta"`` weighs the change of a
     split's cost instead of the cost, which comes nearer to the ratios.
@@ -83,7 +86,16 @@ def assign_splits(groups: DataFrame, seed: int = 42, ratios: dict[str, float] |
         sums.add(s, (g["size"], g["human"], g["ai"]))
         opened.append((g["group_id"], s))
     rest = groups.where(~F.col("group_id").isin([x for x, _ in opened]))
-    ordered = rest.withColumn("h", stable_rank(F.col("group_id"), seed)).coalesce(1).sortWithinPartitions(F.col("size").desc(), "h").select("group_id", "size", "human", "ai")
+    if order == "shuffle":
+        if t["n"] > MAX_SHUFFLED:
+            raise ValueError(f"a shuffle of over {MAX_SHUFFLED} groups isn't made on the driver; use the hash order")
+        ids = sorted(r["group_id"] for r in rest.select("group_id").toLocalIterator())
+        random.Random(seed).shuffle(ids)
+        place = groups.sparkSession.createDataFrame([(g, k) for k, g in enumerate(ids)], "group_id string, h long")
+        ranked = rest.join(place, "group_id")
+    else:
+        ranked = rest.withColumn("h", stable_rank(F.col("group_id"), seed))
+    ordered = ranked.coalesce(1).sortWithinPartitions(F.col("size").desc(), "h").select("group_id", "size", "human", "ai")
     run = partial(_stream, total=total, ratios=ratios, state=sums.state, objective=objective)
     first = groups.sparkSession.createDataFrame(opened, "group_id string, split string")
     return first.unionByName(ordered.mapInArrow(run, "group_id string, split string"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from textloom.functions.measures import BATCH_BYTES, NAMES, append
 from textloom.functions.text import words
+from textloom.session import bound_batches, ship_package
 
-#: A vocabulary of up to so many words is sent to the tasks; top_k bounds it when it is fitted here.
-MAX_WORDS = 1_000_000
+#: A vocabulary of up to so many words is sent to the tasks (about 20 MB); top_k bounds it when it is fitted here.
+MAX_WORDS = 200_000
 
 
 def fit(rows: DataFrame, min_freq: int = 10, top_k: int = 1000, text: str = "text", label: str = "label") -> DataFrame:
@@ -27,17 +32,37 @@ def fit(rows: DataFrame, min_freq: int = 10, top_k: int = 1000, text: str = "tex
     return ranked.orderBy(F.round("weight", 9).desc(), "word").limit(top_k).where("weight > 0")
 
 
+def weights_of(vocabulary: DataFrame) -> dict[str, float] | None:
+    """The vocabulary as a dictionary for the tasks, or None if it has over MAX_WORDS words."""
+    found = vocabulary.select("word", "weight").limit(MAX_WORDS + 1).collect()
+    return {r["word"]: r["weight"] for r in found} if len(found) <= MAX_WORDS else None
+
+
 def score(rows: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``rows`` with pmi_score: the weights of a text's words over the number of words; 0 without words.
 
-    The vocabulary is small by construction; it enters the plan as one map literal, so no text is shuffled.
+    A vocabulary of up to MAX_WORDS words goes to the tasks, so no text is shuffled. A larger one is joined: each
+    distinct text's words are counted before they meet it. The columns come in the same order either way.
     """
-    found = vocabulary.limit(MAX_WORDS + 1).collect()
-    if len(found) > MAX_WORDS:
-        raise ValueError(f"a vocabulary of over {MAX_WORDS} words isn't sent to tasks")
+    weights = weights_of(vocabulary)
+    if weights is not None:
+        return measured(rows, text, weights, False)
+    full = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    id_ = F.md5(full.cast("binary"))
+    texts = rows.select(id_.alias("__i"), full.alias("t")).groupBy("__i").agg(F.first("t").alias("t"))
+    counts = texts.select("__i", F.explode(words(F.col("t"), 3)).alias("word")).groupBy("__i", "word").agg(F.count(F.lit(1)).alias("c"))
+    scores = counts.join(vocabulary.select("word", "weight"), "word", "left").groupBy("__i").agg((F.sum(F.col("c") * F.coalesce("weight", F.lit(0.0))) / F.sum("c")).alias("pmi_score"))
+    out = rows.withColumn("__j", id_).join(scores, F.col("__i") == F.col("__j"), "left")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns if c != "pmi_score"], F.coalesce("pmi_score", F.lit(0.0)).alias("pmi_score"))
+
+
+def measured(rows: DataFrame, text: str, weights: dict[str, float] | None, measures: bool) -> DataFrame:
+    """``rows`` with pmi_score (if there are weights) and burstiness, rttr, entropy (if asked for), words found once."""
     spark = rows.sparkSession
-    book = spark.createDataFrame([({r["word"]: r["weight"] for r in found},)], "book map<string,double>")
-    w = words(F.coalesce(F.col(text), F.lit("")), 3)
-    with_book = rows.join(F.broadcast(book))  # one row
-    hits = F.aggregate(w, F.lit(0.0), lambda a, x: a + F.coalesce(F.try_element_at(F.col("book"), x), F.lit(0.0)))
-    return with_book.withColumn("pmi_score", F.when(F.size(w) == 0, 0.0).otherwise(hits / F.greatest(F.size(w), F.lit(1)))).drop("book")
+    new = ["pmi_score"] * (weights is not None) + list(NAMES) * measures
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in new])
+    if not rows.isStreaming:
+        bound_batches(spark, BATCH_BYTES)
+    ship_package(spark)
+    fields = [*rows.schema.fields, *[StructField(c, DoubleType()) for c in new]]
+    return rows.mapInArrow(partial(append, at=rows.columns.index(text), weights=weights, measures=measures), StructType(fields))

@@ -9,7 +9,8 @@ from textloom.functions.stable import hash_bucket, stable_rank
 from textloom.functions.text import words
 from textloom.operators import audit, evaluation, features, ingest, manifest, pilot, pilot_join, splits, tokenizer_audit, vocabulary
 from textloom.plans.adapters import labelled, raw_rows, table, turns
-from textloom.session import materialise
+from textloom.session import materialise, new_path
+from textloom.sources import readers, writers
 from textloom.sources.writers import shard_counts
 
 QUERIES: dict = {}
@@ -204,7 +205,7 @@ def audit_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + _RAW + r""", x AS (SELECT *, regexp_replace(coalesce(generation, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM raw)
-SELECT count(*) AS rows, count(*) FILTER (model = 'human') AS human_rows, count(*) FILTER (model <> 'human') AS ai_rows, CAST(0 AS BIGINT) AS unknown_rows, count(DISTINCT id) AS unique_ids, count(DISTINCT source_id) AS unique_sources,
+SELECT count(*) AS rows, count(*) FILTER (model = 'human') AS human_rows, count(*) FILTER (model <> 'human') AS ai_rows, count(*) FILTER (coalesce(model, '') = '') AS unknown_rows, count(DISTINCT id) AS unique_ids, count(DISTINCT source_id) AS unique_sources,
 count(DISTINCT adv_source_id) AS unique_adv_sources, count(*) - count(DISTINCT id) AS duplicate_ids, count(*) - count(DISTINCT t) AS duplicate_texts, count(*) FILTER (t = '') AS empty_texts,
 CAST(min(length(t)) AS INT) AS min_length, CAST(max(length(t)) AS INT) AS max_length, round(avg(length(t)), 2) AS mean_length FROM x""")
 def audit_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +348,8 @@ def pilot_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pilot.balanced(chosen).select("record_id", "group_id", "label", "pilot_rank")
 
 
-@query("SELECT 'validation' AS split, CAST(0 AS BIGINT) AS shared UNION ALL SELECT 'test', 0")
+@query("WITH RECURSIVE " + _ASSIGNED + """, train AS (SELECT DISTINCT group_id FROM split_rows WHERE split = 'train')
+SELECT n.split AS split, count(DISTINCT r.group_id) AS shared FROM (SELECT unnest(['validation', 'test']) AS split) n LEFT JOIN (SELECT * FROM split_rows WHERE group_id IN (SELECT group_id FROM train)) r ON r.split = n.split GROUP BY n.split""")
 def pilot_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(_split_rows(spark, sf_dir), "split-rows")
     return pilot.overlap(_selected(rows), rows.where("split <> 'train'"))
@@ -366,10 +368,10 @@ def _labelled_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAMPLE = _KEPT + ", sample AS (SELECT * FROM kept)"
 
 
-@query("WITH " + _SAMPLE + " SELECT record_id, label, sample.source_id AS group_id, 'train' AS split, raw.model AS model, length(generation)::INT AS text_length, sha256(generation) AS text_hash FROM sample JOIN raw ON raw.id = sample.record_id")
+@query("WITH " + _SAMPLE + " SELECT record_id, label, sample.source_id AS group_id, 'train' AS split, raw.model AS model, coalesce(raw.attack, 'none') AS attack, length(generation)::INT AS text_length, sha256(generation) AS text_hash FROM sample JOIN raw ON raw.id = sample.record_id")
 def pilot_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = pilot_join.join_texts(raw_rows(spark, sf_dir), _assignments(spark, sf_dir))
-    return pilot_join.finished(joined).select("record_id", "label", "group_id", "split", "model", "text_length", "text_hash")
+    return pilot_join.finished(joined).select("record_id", "label", "group_id", "split", "model", "attack", "text_length", "text_hash")
 
 
 @query("WITH " + _SAMPLE + " SELECT record_id FROM sample WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -377,8 +379,11 @@ def pilot_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pilot_join.missing_ids(_labelled_raw(spark, sf_dir), _assignments(spark, sf_dir))
 
 
-@query("WITH " + _SAMPLE + """, j AS (SELECT raw.attack AS a, sample.attack AS b FROM sample JOIN raw ON raw.id = sample.record_id)
-SELECT unnest(['model', 'domain', 'decoding', 'repetition_penalty', 'text_hash', 'label']) AS field, CAST(0 AS BIGINT) AS mismatches UNION ALL SELECT 'attack', count(*) FILTER (coalesce(a, '') <> coalesce(b, '')) FROM j""")
+@query("WITH " + _SAMPLE + """, j AS (SELECT raw AS a, sample AS b FROM sample JOIN raw ON raw.id = sample.record_id),
+u AS (SELECT unnest([{'field': 'model', 'x': a.model, 'y': b.model}, {'field': 'domain', 'x': a.domain, 'y': b.domain}, {'field': 'decoding', 'x': a.decoding, 'y': b.decoding},
+ {'field': 'repetition_penalty', 'x': a.repetition_penalty, 'y': b.repetition_penalty}, {'field': 'attack', 'x': a.attack, 'y': b.attack}, {'field': 'text_hash', 'x': sha256(a.generation), 'y': b.text_hash},
+ {'field': 'label', 'x': CASE WHEN a.model = 'human' THEN '0' ELSE '1' END, 'y': CAST(b.label AS VARCHAR)}]) AS c FROM j)
+SELECT c.field AS field, count(*) FILTER (coalesce(c.x, '') <> coalesce(c.y, '')) AS mismatches FROM u GROUP BY c.field""")
 def pilot_join_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pilot_join.mismatches(pilot_join.join_texts(raw_rows(spark, sf_dir), _assignments(spark, sf_dir)))
 
@@ -389,6 +394,132 @@ def pilot_id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pilot_join.id_sets_differ(ids, _assignments(spark, sf_dir))
 
 
+# --- sources and sinks: written, then read back ---------------------------------------------------------------------
+
+_FLAT = "SELECT record_id, label, model, coalesce(decoding, '') AS decoding, attack, domain, CAST(text_length AS INT) AS text_length, text_hash FROM records"
+
+
+def _flat(raw: DataFrame) -> DataFrame:
+    return ingest.normalize(raw).select("record_id", "label", "model", F.coalesce("decoding", F.lit("")).alias("decoding"), "attack", "domain", "text_length", "text_hash")
+
+
+@query("WITH " + _RECORDS + " " + _FLAT)
+def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "csv")
+    writers.write_csv(raw_rows(spark, sf_dir).drop("doc_id"), path)
+    return _flat(readers.read_csv(spark, path))
+
+
+@query("WITH " + _RECORDS + " " + _FLAT)
+def source_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "jsonl")
+    raw_rows(spark, sf_dir).drop("doc_id").write.option("compression", "gzip").json(path)
+    return _flat(readers.read_jsonl(spark, path, raw_rows(spark, sf_dir).drop("doc_id").schema))
+
+
+@query("WITH " + _RECORDS + " " + _FLAT)
+def source_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose kind the source's name tells."""
+    path = new_path(spark, "source") + ".csv.gz"
+    writers.write_csv(raw_rows(spark, sf_dir).drop("doc_id"), path)
+    return _flat(readers.load_source(spark, "auto", path))
+
+
+@query(r"""WITH p AS (SELECT CAST(u.conv_id AS VARCHAR) || '/' || CAST(u.turn AS VARCHAR) AS page_title, u.text AS human_text, a.text AS ai_text FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
+x AS (SELECT page_title, human_text AS text, 0 AS label FROM p UNION ALL SELECT page_title, ai_text, 1 FROM p)
+SELECT page_title, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text, label FROM x WHERE text IS NOT NULL AND text <> ''""")
+def source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    human = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("human_text"))
+    ai = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ai_text"))
+    path = new_path(spark, "pairs")
+    human.join(ai, ["conv_id", "turn"], "left").select(F.concat_ws("/", "conv_id", "turn").alias("page_title"), "human_text", "ai_text").write.json(path)
+    return ingest.pairs_to_rows(readers.read_pairs(spark, path), ["page_title"]).select("page_title", "text", "label")
+
+
+@query("WITH " + _VOCAB + " SELECT word, round(weight, 6) AS weight FROM vocab")
+def source_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "vocabulary") + ".json"
+    writers.write_vocabulary(_vocabulary(spark, sf_dir), path)
+    return _rounded(readers.read_vocabulary(spark, path), "weight")
+
+
+@query("WITH RECURSIVE " + _ASSIGNED + " SELECT record_id, CAST(label AS VARCHAR) AS label, split, model, attack, CAST(text_length AS VARCHAR) AS text_length, text_hash FROM split_rows")
+def sink_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "shards")
+    writers.write_shards(materialise(_split_rows(spark, sf_dir), "split-rows"), path)
+    parts = [readers.read_assignments(spark, path, x) for x in manifest.SPLITS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("record_id", "label", "split", "model", "attack", "text_length", "text_hash")
+
+
+@query("WITH RECURSIVE " + _ASSIGNED + " SELECT split, CAST(CAST('0x' || substr(text_hash, 1, 8) AS BIGINT) % 32 AS INT) AS shard, count(*) AS rows FROM split_rows GROUP BY ALL")
+def sink_shard_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index that lies beside the shards."""
+    path = new_path(spark, "shards")
+    writers.write_shards(materialise(_split_rows(spark, sf_dir), "split-rows"), path)
+    found = spark.read.option("multiLine", True).json(f"{path}/shard_index.json").select(F.explode("files").alias("f"))
+    return found.select("f.split", F.col("f.shard").cast("int").alias("shard"), "f.rows")
+
+
+@query("WITH RECURSIVE " + _ASSIGNED + " SELECT record_id, label, split, model, group_id FROM split_rows")
+def sink_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "manifests")
+    writers.write_splits(materialise(_split_rows(spark, sf_dir), "split-rows"), path, "record_id")
+    found = spark.read.schema("record_id string, label int, split string, model string, group_id string").json(path)
+    return found.select("record_id", "label", "split", "model", "group_id")
+
+
+@query("WITH " + _SAMPLE + " SELECT record_id, CAST(label AS VARCHAR) AS label, true AS listed FROM sample")
+def sink_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "pilot")
+    rows = _assignments(spark, sf_dir).withColumn("pilot_rank", stable_rank(F.col("record_id"), 44)).drop("doc_id")
+    writers.write_pilot(rows, path)
+    ids = readers.read_ids(spark, f"{path}/pilot_record_ids").withColumn("listed", F.lit(True))
+    return readers.read_pilot(spark, f"{path}/pilot_assignments").join(ids, "record_id", "full_outer").select("record_id", "label", "listed")
+
+
+@query("WITH " + _SAMPLE + " SELECT record_id, label, generation AS text, sha256(generation) AS text_hash FROM sample JOIN raw ON raw.id = sample.record_id")
+def sink_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "joined")
+    rows = _assignments(spark, sf_dir)
+    raw = raw_rows(spark, sf_dir).withColumn("attack", F.coalesce("attack", F.lit("none")))
+    writers.write_joined(raw, rows, path)
+    return spark.read.schema("record_id string, label int, text string, text_hash string").json(f"{path}/pilot_texts")
+
+
+@query("SELECT DISTINCT unnest(json_keys(props)) AS field FROM events")
+def audit_observed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.observed_fields(table(spark, sf_dir, "events"), "props")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS place FROM documents ORDER BY place LIMIT 100")
+def audit_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    first = audit.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100)
+    return first.select("doc_id", F.row_number().over(Window.orderBy(stable_rank(F.col("doc_id").cast("string"), 42), "doc_id")).cast("long").alias("place"))
+
+
+@query("SELECT doc_id, CAST(to_json({'doc_id': doc_id, 'lang': lang, 'source': source}) AS VARCHAR) AS json FROM documents")
+def record_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audit.as_dicts(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"))
+    return out.select(F.get_json_object("json", "$.doc_id").cast("long").alias("doc_id"), "json")
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INT) AS n FROM embeddings")
+def nested_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(audit.flat(F.array("embedding"))).alias("n"))
+
+
+@query("WITH " + _RECORDS + """, marked AS (SELECT *, row_number() OVER (PARTITION BY text_hash ORDER BY doc_id) AS rn, min(label) OVER (PARTITION BY text_hash) AS lo, max(label) OVER (PARTITION BY text_hash) AS hi FROM records)
+SELECT record_id, label, text_hash FROM marked WHERE rn = 1 AND lo = hi""")
+def manifest_kept_arrival_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_rows(spark, sf_dir)
+    position = raw.select(F.col("id").alias("record_id"), F.col("doc_id").alias("position"))
+    records = _records(spark, sf_dir).select("record_id", "text_hash", "label").join(position, "record_id")
+    return manifest.kept_in_arrival_order(records, "position").drop("position")
+
+
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 _LENGTHS = r"n AS (SELECT doc_id, quality AS label, text, 2 + len(regexp_extract_all(text, '[^\s\p{Z}]+')) AS x FROM documents JOIN labels USING (doc_id))"
@@ -397,7 +528,7 @@ _SUMMARY = "count(*) AS count, CAST(min(x) AS INT) AS min, CAST(max(x) AS INT) A
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir).select(F.col("doc_id").cast("string").alias("record_id"), "label", "text")
-    return tokenizer_audit.tokenized(rows).drop("token_ids", "attention_mask")
+    return tokenizer_audit.tokenized(rows).drop("token_ids", "attention_mask", "special_tokens_mask")
 
 
 @query("WITH " + _LENGTHS + " SELECT " + _SUMMARY + " FROM n")
@@ -410,9 +541,10 @@ def token_length_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_audit.length_summary(_tokens(spark, sf_dir), "label")
 
 
-@query("WITH " + _LENGTHS + r" SELECT count(*) AS rows, count(*) FILTER (NOT regexp_matches(coalesce(text, ''), '[^\s\p{Z}]')) AS empty, count(*) FILTER (x > 512) AS truncated, round(count(*) FILTER (x > 512) / count(*), 6) AS rate FROM n")
+@query("WITH n AS (SELECT text, 2 + len(regexp_extract_all(coalesce(text, ''), '[^\\s\\p{Z}]+')) AS x FROM documents) " + r"SELECT count(*) AS rows, count(*) FILTER (NOT regexp_matches(coalesce(text, ''), '[^\s\p{Z}]')) AS empty, count(*) FILTER (x > 512) AS truncated, round(count(*) FILTER (x > 512) / count(*), 6) AS rate FROM n")
 def truncation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenizer_audit.truncation(_tokens(spark, sf_dir))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenizer_audit.truncation(tokenizer_audit.tokenized(rows).select("text", "truncated"))
 
 
 @query("SELECT 'lang' AS section, lang AS key, count(*) AS rows FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
@@ -422,11 +554,8 @@ def metadata_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT doc_id, quality AS label, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS k FROM documents JOIN labels USING (doc_id)) SELECT doc_id, label, sha256('42:' || CAST(doc_id AS VARCHAR)) AS rank FROM r WHERE k <= 32")
 def first_n_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = labelled(spark, sf_dir).select("doc_id", "label")
-    first = F.row_number().over(Window.partitionBy("label").orderBy("doc_id"))
-    return rows.withColumn("k", first).where("k <= 32").select("doc_id", "label", stable_rank(F.col("doc_id").cast("string"), 42).alias("rank"))
+    rows = audit.first_per_label(labelled(spark, sf_dir).select("doc_id", "label"), 32, "doc_id")
+    return rows.select("doc_id", "label", stable_rank(F.col("doc_id").cast("string"), 42).alias("rank"))
 
 
 @query("SELECT doc_id, CASE WHEN CAST('0x' || substr(sha256('42:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END AS part FROM documents")
@@ -486,6 +615,23 @@ def slice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.slices(_scored(spark, sf_dir).withColumn("predicted", (F.col("score") > 0.5).cast("int")), ("lang", "source"))
 
 
+@query(_SCORED + ", t AS (SELECT score AS x, count(*) FILTER (label = 1) AS pos FROM s GROUP BY score), r AS (SELECT x, any_value(pos) AS pos, count(*) FILTER (label = 1 AND score >= x) AS tp, count(*) FILTER (score >= x) AS said FROM t, s GROUP BY x) SELECT round(sum(pos / (SELECT count(*) FILTER (label = 1) FROM s) * tp / said), 6) AS pr_auc FROM r")
+def pr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.average_precision(_scored(spark, sf_dir))
+
+
+@query(_SCORED + ", p AS (SELECT label, score > 0.5 AS p FROM s) SELECT round(count(*) FILTER (label = 0 AND p) / count(*) FILTER (label = 0), 6) AS fpr, round(count(*) FILTER (label = 1 AND NOT p) / count(*) FILTER (label = 1), 6) AS fnr FROM p")
+def miss_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.miss_rates(_scored(spark, sf_dir).withColumn("predicted", (F.col("score") > 0.5).cast("int")))
+
+
+@query(_SCORED + ", x AS (SELECT label, score, CASE WHEN length(text) < 128 THEN '<128' WHEN length(text) < 256 THEN '128-255' WHEN length(text) < 512 THEN '256-511' WHEN length(text) < 1024 THEN '512-1023' WHEN length(text) < 2048 THEN '1024-2047' ELSE '>=2048' END AS b FROM (SELECT text, quality AS label, round((CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 1000) / 2000.0::DOUBLE + 0.4 * quality, 6) AS score FROM documents JOIN labels USING (doc_id))) SELECT 'length' AS dimension, b AS value, count(*) AS rows, round(avg(CASE WHEN (score > 0.5) = (label = 1) THEN 1 ELSE 0 END), 6) AS accuracy FROM x GROUP BY b")
+def slices_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = table(spark, sf_dir, "documents").select("doc_id", evaluation.length_bucket(F.length("text")).alias("length"))
+    scored = _scored(spark, sf_dir).withColumn("predicted", (F.col("score") > 0.5).cast("int"))
+    return evaluation.slices(scored.join(lengths, "doc_id"), ("length",))
+
+
 @query("WITH x AS (SELECT doc_id, " + _WORDS1.format(t="text") + " AS w FROM documents), k AS (SELECT doc_id, w, unnest(range(0, greatest(CAST(ceil((len(w) - 128) / 64) AS BIGINT), 0) + 1)) AS chunk FROM x) SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(len(w[chunk * 64 + 1 : chunk * 64 + 128]) AS INT) AS n FROM k")
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", words(F.coalesce("text", F.lit(""))).alias("tokens"))

@@ -32,8 +32,8 @@ def _files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
 
 
 def assignment_paths(spark: SparkSession, folder: str, split: str) -> list[str]:
-    """The shards of one split; others aren't opened."""
-    found = _files(spark, folder, f"record_assignments_{split}_*")
+    """The shards of one split, as files of the split's name or in the folders of ``write_shards``; others aren't opened."""
+    found = _files(spark, folder, f"record_assignments_{split}_*") or _files(spark, folder, f"assignments/split={split}/shard=*/*.csv*")
     if not found:
         raise FileNotFoundError(f"no shards of {split} in {folder}")
     return found
@@ -43,6 +43,8 @@ def read_assignments(spark: SparkSession, folder: str, split: str) -> DataFrame:
     from textloom.operators.pilot import check_assignments
 
     rows = read_csv(spark, assignment_paths(spark, folder, split), required=set())
+    if "split" not in rows.columns:  # the folder's name says it
+        rows = rows.withColumn("split", F.lit(split)).select(*ASSIGNMENT_FIELDS)
     check_assignments(rows, split)
     return rows
 
@@ -65,9 +67,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def is_gzip(spark: SparkSession, path: str) -> bool:
-    """By the first two bytes, whatever the name."""
+    """By the first two bytes, whatever the name. A folder is none: its files are read by their names."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        return False
+    stream = fs.open(p)
     try:
         return (stream.read(), stream.read()) == (0x1F, 0x8B)
     finally:
@@ -105,7 +110,10 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(word, weight) of a flat JSON object."""
+    """(word, weight) of a flat JSON object; a file that isn't there is an empty vocabulary."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], "word string, weight double")
     text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,double>"))).toDF("word", "weight")
 
@@ -149,6 +157,23 @@ def positive(name: str, default: int) -> int:
     return value
 
 
+def source_from_environment(spark: SparkSession, prefix: str = "TEXTLOOM") -> DataFrame:
+    """The source that {prefix}_SOURCE (path), {prefix}_MODE (auto) and {prefix}_MAX_ROWS (all) name."""
+    path = os.environ.get(f"{prefix}_SOURCE")
+    if not path:
+        raise ValueError(f"{prefix}_SOURCE names no source")
+    most = os.environ.get(f"{prefix}_MAX_ROWS")
+    return load_source(spark, os.environ.get(f"{prefix}_MODE", "auto"), path, positive(f"{prefix}_MAX_ROWS", 1) if most else None)
+
+
+def runtime_report(spark: SparkSession) -> dict:
+    """Versions and settings that a report of a run should name."""
+    import platform
+
+    conf = ("spark.master", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone")
+    return {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "java": spark._jvm.System.getProperty("java.version"), "parallelism": spark.sparkContext.defaultParallelism, "settings": {c: spark.conf.get(c, None) for c in conf}}
+
+
 def to_json(value) -> str:
     return json.dumps(value, indent=2, ensure_ascii=False)
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.stable import shard
-from textloom.operators import manifest
+from textloom.operators import manifest, pilot_join
+from textloom.session import materialise
 from textloom.sources.readers import ASSIGNMENT_FIELDS, to_json
 
 
@@ -33,30 +34,72 @@ def report(counts: DataFrame) -> dict:
     return out
 
 
-def write_splits(rows: DataFrame, path: str) -> None:
-    """JSON lines by split, after the manifest's checks."""
+def summary(split_rows: DataFrame) -> dict:
+    """Rows, groups, labels, models, domains and attacks of each split, for a report."""
+    out: dict = {}
+    for r in manifest.distribution(split_rows).orderBy("split", "section", "key").toLocalIterator():
+        per = out.setdefault(r["split"], {})
+        if r["key"] == "" and r["section"] in ("rows", "groups"):
+            per[r["section"]] = r["rows"]
+        elif r["rows"]:
+            per.setdefault(r["section"], {})[r["key"]] = r["rows"]
+    return out
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Gzip CSV with a header that ``readers.read_csv`` reads back: quotes doubled, line ends kept; null and empty are one."""
+    rows.write.option("header", True).option("escape", '"').option("compression", "gzip").option("emptyValue", "").mode("overwrite").csv(path)
+
+
+def write_splits(rows: DataFrame, path: str, order: str | None = None) -> dict:
+    """JSON lines by split, after the manifest's checks, and _manifest_summary.json beside them (Spark's readers skip names
+    like this); in order of ``order`` if given, across the files of a split as well."""
     manifest.validate(rows)
-    rows.write.partitionBy("split").mode("overwrite").json(path)
+    (rows.orderBy("split", order) if order else rows).write.partitionBy("split").mode("overwrite").json(path)
+    found = summary(rows)
+    write_report(rows.sparkSession, f"{path}/_manifest_summary.json", found)
+    return found
 
 
-def write_shards(rows: DataFrame, path: str, shards: int = 32) -> DataFrame:
-    """Assignments as gzip CSV by split and shard, sorted by id within; returns (split, shard, rows)."""
+def write_shards(rows: DataFrame, path: str, shards: int = 32, config: dict | None = None) -> DataFrame:
+    """Assignments as gzip CSV by split and shard, sorted by id within, with shard_index.json, manifest_summary.json and
+    config.json beside them; returns (split, shard, rows)."""
+    if shards < 1:
+        raise ValueError("one shard is needed at least")
     manifest.validate(rows)
+    spark = rows.sparkSession
     out = rows.select(*[F.col(c) for c in ASSIGNMENT_FIELDS]).withColumn("shard", shard(F.col("text_hash"), shards))
     by = out.repartition(F.col("split"), F.col("shard")).sortWithinPartitions("split", "shard", "record_id")
-    by.write.partitionBy("split", "shard").option("header", True).option("compression", "gzip").mode("overwrite").csv(path)
-    return shard_counts(out)
+    by.write.partitionBy("split", "shard").option("header", True).option("compression", "gzip").option("escape", '"').mode("overwrite").csv(f"{path}/assignments")
+    counts = shard_counts(out)
+    index = [r.asDict() for r in counts.orderBy("split", "shard").collect()]  # splits times shards
+    write_report(spark, f"{path}/shard_index.json", {"shards": shards, "fields": list(ASSIGNMENT_FIELDS), "files": index})
+    write_report(spark, f"{path}/manifest_summary.json", summary(rows))
+    write_report(spark, f"{path}/config.json", {"shards": shards, **(config or {})})
+    return counts
 
 
 def shard_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split", "shard").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def write_pilot(rows: DataFrame, path: str) -> None:
-    """A sample's assignments and its ids, in the sample's order; a sample is small, so one file each."""
+def write_pilot(rows: DataFrame, path: str, found: dict | None = None) -> None:
+    """A sample's assignments, its ids, in the sample's order, and pilot_summary.json; a sample is small, so one file each."""
     ordered = rows.orderBy("pilot_rank")
     ordered.coalesce(1).drop("pilot_rank").write.option("header", True).option("compression", "gzip").mode("overwrite").csv(f"{path}/pilot_assignments")
     ordered.select("record_id").coalesce(1).write.mode("overwrite").text(f"{path}/pilot_record_ids")
+    labels = {r["label"]: r["n"] for r in rows.groupBy(F.col("label").cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()}
+    write_report(rows.sparkSession, f"{path}/pilot_summary.json", {"rows": sum(labels.values()), "labels": labels, **(found or {})})
+
+
+def write_joined(raw: DataFrame, assignments: DataFrame, path: str) -> dict:
+    """The sample with its texts as gzip JSON lines in order of id, and join_summary.json; nothing is written unless all
+    checks pass."""
+    done = materialise(pilot_join.validated(raw, assignments), "joined")
+    found = pilot_join.summary(done, assignments)
+    done.orderBy("record_id").write.option("compression", "gzip").mode("overwrite").json(f"{path}/pilot_texts")
+    write_report(raw.sparkSession, f"{path}/join_summary.json", found)
+    return found
 
 
 def write_vocabulary(words: DataFrame, path: str) -> None:
