@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,23 @@ def ship(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+class tidy:
+    """A function of a task's batches that gives free memory back to the system when the task ends: workers live on, and
+    what one stage has taken would count against the next one's."""
+
+    def __init__(self, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        self.fn = fn
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from self.fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema, limit: int = 1_000_000) -> DataFrame:
     """mapInArrow with a function of one batch, sliced so that a batch holds a bounded number of bytes."""
     ship(df.sparkSession)
@@ -30,7 +48,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
             for part in slices(batch, limit):
                 yield from fn(part)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def slices(batch: pa.RecordBatch, limit: int = 6_000_000) -> Iterator[pa.RecordBatch]:

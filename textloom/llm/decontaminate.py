@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from textloom.llm._common import arrow_map, ship, slices, small
+from textloom.llm._common import arrow_map, ship, slices, small, tidy
 from textloom.llm.words import K, shingles_of, text_bytes, words_of
 from textloom.session import materialise
 
@@ -231,7 +231,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     right = rows.withColumn("c", c).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = right.select((F.col("q") * across + F.col("c")).alias("cell"), F.lit(1).alias("side"), F.lit(None).cast(kind).alias("i"), F.col("__t").alias("t"), F.col("__row").alias("row"))
     cells = left.unionByName(right).repartitionById(blocks * across, F.col("cell").cast("int")).sortWithinPartitions("cell", "side")
-    found = cells.mapInArrow(partial(_cells, k=k, min_coverage=min_coverage, kind=to_arrow_type(kind)), schema)
+    found = cells.mapInArrow(tidy(partial(_cells, k=k, min_coverage=min_coverage, kind=to_arrow_type(kind))), schema)
     return found.withColumnRenamed("__row", key)
 
 

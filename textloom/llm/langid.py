@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import arrow_map, held_out, ship, slices
+from textloom.llm._common import arrow_map, held_out, ship, slices, tidy
 from textloom.llm.words import text_bytes, words_of
 
 BINS = 1 << 16
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(i), pa.string()), pa.array(i, pa.int32()), pa.array(a[i], pa.int64())], names=["lang", "bin", "n"])
 
     ship(docs.sparkSession)
-    got = rows.mapInArrow(part, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.mapInArrow(tidy(part), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     at = {x: k for k, x in enumerate(langs)}
     table = np.zeros((len(langs), BINS + 16))

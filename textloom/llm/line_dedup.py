@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from textloom.llm._common import arrow_map, ship, slices, small
+from textloom.llm._common import arrow_map, ship, slices, small, tidy
 from textloom.llm.words import U, mix, text_bytes, words_of
 from textloom.session import discard, materialise
 
 BITS = 18
 BATCH = 200_000
-PAIRS = 1 << 20  # pairs of rows that are looked at together
+PAIRS = 1 << 18  # pairs of rows that are looked at together
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     """How often words of each bin occur in all texts."""
     rows = docs.select(F.col(text).cast("string").alias("t"))
     schema = "part int, n binary"
-    parts = rows.mapInArrow(_bins, schema).repartition(64, "part", F.pmod(F.spark_partition_id(), F.lit(8))).mapInArrow(_sum_bins, schema).toArrow()
+    parts = rows.mapInArrow(tidy(_bins), schema).repartition(64, "part", F.pmod(F.spark_partition_id(), F.lit(8))).mapInArrow(tidy(_sum_bins), schema).toArrow()
     out = np.zeros((64, (1 << BITS) // 64), np.int64)
     for p, n in zip(parts.column("part").to_pylist(), parts.column("n").to_pylist(), strict=True):
         out[p] += np.frombuffer(n, np.int64)
@@ -276,7 +276,7 @@ def _meet(rows: DataFrame, threshold: float, earliest: int | None) -> DataFrame:
     bucket = [c for c in ("word", "p", "q") if c in rows.columns]
     more = [c for c in ("role", "more") if c in rows.columns]
     # Sorted by bucket only: one column of numbers goes through the radix sort.
-    return rows.select(*bucket, "d", "lo", "sp", "bits", "bits2", *more).repartition(width, *bucket).sortWithinPartitions(*bucket).mapInArrow(partial(_compare, threshold=threshold, earliest=earliest), _PAIR)
+    return rows.select(*bucket, "d", "lo", "sp", "bits", "bits2", *more).repartition(width, *bucket).sortWithinPartitions(*bucket).mapInArrow(tidy(partial(_compare, threshold=threshold, earliest=earliest)), _PAIR)
 
 
 def _posted(sets: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import arrow_map, ship, small
+from textloom.llm._common import arrow_map, ship, small, tidy
 from textloom.llm.words import U, mix, shingles_of, text_bytes, words_of
 from textloom.operators.components import connected_components
 from textloom.session import materialise
@@ -274,7 +274,7 @@ def text_classes(named: DataFrame, kind: str, threshold: float) -> tuple[DataFra
         right = some.select("bucket", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("p"), F.pmod(part, F.col("nq")).cast("int").alias("q"), F.lit(1).alias("side"), "node", "sig", "comp")
         width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         blocks = left.unionByName(right).repartition(width, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-        more = blocks.mapInArrow(partial(_within, least=least, threshold=threshold, nearest=nearest), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        more = blocks.mapInArrow(tidy(partial(_within, least=least, threshold=threshold, nearest=nearest)), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         more = materialise(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(more)
         links = verified(more)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._common import offsets_of, ship
+from textloom.llm._common import offsets_of, ship, tidy
 from textloom.session import materialise
 
 BLOCK_BYTES = 8 << 20
@@ -259,7 +259,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     rows = pick(vectors)
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if blocks == 1:
-        found = rows.mapInArrow(partial(_search, queries=Queries.of(asked.toArrow()), k=k), schema)
+        found = rows.mapInArrow(tidy(partial(_search, queries=Queries.of(asked.toArrow()), k=k)), schema)
     else:
         # Rows of one id, or of one vector, are dealt over all candidate blocks by the tasks that read them.
         across = max(1, -(-width // blocks))
@@ -268,10 +268,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         c = F.pmod(F.xxhash64("i", "v", F.spark_partition_id()), F.lit(across))
         right = rows.withColumn("c", c).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select((F.col("q") * across + F.col("c")).alias("cell"), F.lit(1).alias("side"), "i", "v", F.lit(0).cast("long").alias("tag"))
         cells = left.unionByName(right).repartitionById(blocks * across, F.col("cell").cast("int")).sortWithinPartitions("cell", "side")
-        found = cells.mapInArrow(partial(_cells, k=k), schema)
+        found = cells.mapInArrow(tidy(partial(_cells, k=k)), schema)
     merge = partial(_merge, k=k)
     salted = found.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-    first = salted.repartition(width, "tag", "salt").sortWithinPartitions("tag").select("tag", "query_id", "vec_id", "score").mapInArrow(merge, schema)
-    last = first.repartition(width, "tag").sortWithinPartitions("tag").mapInArrow(merge, schema)
+    first = salted.repartition(width, "tag", "salt").sortWithinPartitions("tag").select("tag", "query_id", "vec_id", "score").mapInArrow(tidy(merge), schema)
+    last = first.repartition(width, "tag").sortWithinPartitions("tag").mapInArrow(tidy(merge), schema)
     rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.col("score").desc(), "vec_id"))
     return last.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import arrow_map, ship, slices
+from textloom.llm._common import arrow_map, ship, slices, tidy
 from textloom.llm.words import U, mix, shingles_of, text_bytes, words_of
 
 PAIRS, CLASSES, MEASURES = 1024, 512, 13
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["k", "y", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(part, f"k {kind}, y int, x binary").orderBy(F.xxhash64("k"), "k", "y", "x").limit(sample).toArrow()
+    got = rows.mapInArrow(tidy(part), f"k {kind}, y int, x binary").orderBy(F.xxhash64("k"), "k", "y", "x").limit(sample).toArrow()
     if not got.num_rows:
         return neutral()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)

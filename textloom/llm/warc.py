@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._common import SMALL_BYTES, arrow_map, bytes_of, ship, small
+from textloom.llm._common import SMALL_BYTES, arrow_map, bytes_of, ship, small, tidy
 from textloom.session import materialise
 
 MAGIC = "WARC/1."
@@ -157,7 +157,7 @@ def reachable(spark: SparkSession, path: str) -> DataFrame:
     length = F.regexp_extract(head, r"(?i)\r\nContent-Length:[ \t]*([0-9]{1,15})[ \t]*(?:\r\n|$)", 1)
     sized = raw.select("file", "block", F.octet_length("value").cast("long").alias("size"), F.coalesce(F.when(length != "", F.octet_length(head) + 8 + length.cast("long")), F.lit(-1)).cast("long").alias("reach"))
     ship(spark)
-    found = materialise(sized.mapInArrow(_condense, "file string, block long, at long, leave long, last long, candidate boolean"), "warc")
+    found = materialise(sized.mapInArrow(tidy(_condense), "file string, block long, at long, leave long, last long, candidate boolean"), "warc")
     order = Window.partitionBy("file").orderBy("block")
     blocks = found.where("not candidate").select("file", "block", F.coalesce(F.sum("leave").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     # Blocks are numbered; records go by their offset within the file of their block, whose number is its first block's.
@@ -296,7 +296,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         own = F.pmod(F.xxhash64("file"), F.lit(groups)) == g
         pieces = _pieces(spark, path).withColumn("value", F.col("value").cast("binary"))
         rows = pieces.where(own).join(F.broadcast(blocks.where(own).withColumnRenamed("base", "first")), ["file", "block"], "left")
-        part = rows.select("file", "block", "value", F.col("first").alias("base"), "enter", "owner").mapInArrow(partial(_walk, digests=not payloads), _SCHEMA)
+        part = rows.select("file", "block", "value", F.col("first").alias("base"), "enter", "owner").mapInArrow(tidy(partial(_walk, digests=not payloads)), _SCHEMA)
         walked = part if walked is None else walked.unionByName(part)
     whole = walked.where("part is null").drop("part")
     if not blocks.where("block > 0 and owner is not null and (enter is null or enter > base - 7)").isEmpty():
