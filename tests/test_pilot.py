@@ -90,3 +90,18 @@ def test_join_back_fails_on_missing_repeated_and_differing_rows(spark):
         pilot_join.validated(raw.unionByName(raw), rows)
     with pytest.raises(ValueError, match="differ"):
         pilot_join.validated(raw.withColumn("domain", F.lit("books")), rows)
+
+
+def test_selection_equals_its_recursive_sql(spark, target=12):
+    """The greedy steps, with a target that ends them early."""
+    import duckdb
+
+    from textloom.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    sql = "WITH RECURSIVE " + catalogue._PICKED.replace("least(10000,", f"least({target},") + " SELECT group_id FROM pick WHERE k > 0"
+    rows = catalogue._train(catalogue._split_rows(spark, sf))
+    got = {r["group_id"] for r in pilot.select_groups(pilot.summarize(rows), target).collect()}
+    assert got == {g for (g,) in db.sql(sql).fetchall()} and got

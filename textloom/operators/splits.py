@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.stable import stable_rank
-from textloom.session import materialise
+from textloom.session import materialise, ship_package
 
 ORDER = ("train", "validation", "test")
 #: Groups whose ids the driver shuffles at most.
@@ -96,6 +96,7 @@ def assign_splits(groups: DataFrame, seed: int = 42, ratios: dict[str, float] |
     else:
         ranked = rest.withColumn("h", stable_rank(F.col("group_id"), seed))
     ordered = ranked.coalesce(1).sortWithinPartitions(F.col("size").desc(), "h").select("group_id", "size", "human", "ai")
+    ship_package(groups.sparkSession)
     run = partial(_stream, total=total, ratios=ratios, state=sums.state, objective=objective)
     first = groups.sparkSession.createDataFrame(opened, "group_id string, split string")
     return first.unionByName(ordered.mapInArrow(run, "group_id string, split string"))

@@ -77,6 +77,27 @@ walk AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS group_id, ''::VARCHAR AS split, o
 assigned AS (SELECT group_id, split FROM walk WHERE k > 0 UNION ALL SELECT group_id, 'train' FROM o1 UNION ALL SELECT group_id, 'validation' FROM o2 UNION ALL SELECT group_id, 'test' FROM o3),
 split_rows AS (SELECT grouped.*, split FROM grouped JOIN assigned USING (group_id))"""
 
+# The pilot: groups by the least cost until the human rows reach the goal, then AI rows that cover new kinds first.
+_PICKED = _ASSIGNED + """,
+train AS (SELECT *, ['model ' || coalesce(nullif(model, ''), 'unknown'), 'domain ' || coalesce(nullif(domain, ''), 'unknown'), 'attack ' || coalesce(nullif(attack, ''), 'none')] AS cover FROM split_rows WHERE split = 'train'),
+goal AS (SELECT CAST(least(round_even(least(10000, count(*)) * 0.5::DOUBLE, 0), count(*) FILTER (label = 0)) AS BIGINT) AS want FROM train),
+choice AS (SELECT group_id, count(*) FILTER (label = 0) AS human, list_distinct(flatten(list(cover))) AS cover FROM train GROUP BY group_id HAVING count(*) FILTER (label = 0) > 0),
+pick AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS group_id, 0::BIGINT AS have, []::VARCHAR[] AS covered, []::VARCHAR[] AS taken
+ UNION ALL
+ SELECT k + 1, group_id, have + human, list_distinct(list_concat(covered, cover)), list_append(taken, group_id)
+ FROM (SELECT p.k, g.group_id, p.have, g.human, p.covered, g.cover, p.taken FROM pick p, choice g, goal WHERE p.have < want AND NOT list_contains(p.taken, g.group_id)
+  ORDER BY abs(p.have + g.human - want) / greatest(want, 1) + 3 * greatest(0, p.have + g.human - want) / greatest(want, 1) - 0.03::DOUBLE * len(list_filter(g.cover, lambda x: NOT list_contains(p.covered, x))), g.group_id LIMIT 1))"""
+_SAMPLED = _PICKED + """,
+chosen AS (SELECT record_id, group_id, label, cover, sha256('43:' || record_id) AS r FROM train WHERE group_id IN (SELECT group_id FROM pick WHERE k > 0)),
+size AS (SELECT count(*) FILTER (label = 0) AS n FROM chosen),
+heads AS (SELECT cover, min(r) AS r, arg_min(record_id, r) AS record_id FROM chosen WHERE label = 1 GROUP BY cover),
+seek AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS record_id, (SELECT list_distinct(flatten(list(cover))) FROM heads) AS missing
+ UNION ALL
+ SELECT k + 1, record_id, list_filter(missing, lambda x: NOT list_contains(cover, x))
+ FROM (SELECT s.k, h.record_id, h.cover, s.missing FROM seek s, heads h, size WHERE len(s.missing) > 0 AND s.k < n
+  ORDER BY len(list_filter(h.cover, lambda x: list_contains(s.missing, x))) DESC, h.r LIMIT 1)),
+ranked AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN record_id IN (SELECT record_id FROM seek) THEN 0 ELSE 1 END, r) AS place FROM chosen WHERE label = 1)"""
+
 
 # --- features -------------------------------------------------------------------------------------------------------
 
@@ -336,12 +357,13 @@ def _selected(rows: DataFrame) -> DataFrame:
     return pilot.select_groups(materialise(pilot.summarize(_train(rows)), "pilot-groups"))
 
 
-@query()
+@query("WITH RECURSIVE " + _PICKED + " SELECT group_id FROM pick WHERE k > 0")
 def pilot_selected_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(materialise(_split_rows(spark, sf_dir), "split-rows"))
 
 
-@query()
+@query("WITH RECURSIVE " + _SAMPLED + """, sample AS (SELECT record_id, group_id, label FROM chosen WHERE label = 0 UNION ALL SELECT record_id, group_id, label FROM ranked, size WHERE place <= n)
+SELECT record_id, group_id, CAST(label AS VARCHAR) AS label, sha256('44:' || record_id) AS pilot_rank FROM sample""")
 def pilot_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(_split_rows(spark, sf_dir), "split-rows")
     chosen = _train(rows).join(F.broadcast(_selected(rows)), "group_id", "left_semi")
