@@ -1,5 +1,7 @@
 """Exact search against brute force, with ties, repeats and vectors that take no part."""
 
+import tracemalloc
+
 import numpy as np
 
 from textloom.llm import neighbours
@@ -77,3 +79,42 @@ def test_cells_of_many_blocks_equal_one_block(spark, monkeypatch):
     one = sorted(tuple(r) for r in neighbours.nearest(df, asked).collect())
     monkeypatch.setattr(neighbours, "BLOCK_BYTES", 500)
     assert sorted(tuple(r) for r in neighbours.nearest(df, asked).collect()) == one and len(one) >= 300
+
+
+def peak_mb(queries, candidates, k=20):
+    own, other, best = neighbours.Tile(np.arange(len(queries)) + 10**6, queries), neighbours.Tile(np.arange(len(candidates)), candidates), neighbours.Best(len(queries), k)
+    tracemalloc.start()
+    neighbours.search(own, other, best, np.arange(len(queries)))
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    return peak, best
+
+
+def test_memory_does_not_grow_with_the_queries_of_a_block():
+    rng = np.random.default_rng(7)
+    peak, _ = peak_mb(rng.normal(size=(6000, 16)).astype(np.float32), rng.normal(size=(5000, 16)).astype(np.float32))
+    assert peak < 150
+
+
+def test_memory_does_not_grow_with_the_ties_of_long_vectors():
+    rng = np.random.default_rng(8)
+    candidates = rng.choice([-1.0, 1.0], (1500, 512)).astype(np.float32)
+    candidates[:, 0] = 1  # all products are 1
+    queries = np.zeros((100, 512), np.float32)
+    queries[:, 0] = 1
+    peak, best = peak_mb(queries, candidates)
+    assert peak < 150
+    out = [tuple(x) for b in neighbours._found(type("Block", (), {"n": 100, "tags": np.arange(100), "ids": np.arange(100)}), best) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(out) == [(q, q, i, 1.0) for q in range(100) for i in range(20)]
+
+
+def test_large_groups_of_copies_in_rounds_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(100)]
+    rows += [(i, [2.0] * 8) for i in range(100, 260)]  # copies
+    rows += [(120, [2.0] * 8)] * 60 + [(119, [2.0] * 8)] * 30  # of one id more than are asked for
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(2)
+    want = brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 20)
+    assert sorted(tuple(r) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect()) == want
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 8000)
+    assert sorted(tuple(r) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect()) == want
