@@ -13,7 +13,8 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringTy
 
 from textloom.session import bound_batches, ship_package
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+PIECE = 250_000  # bytes of a batch that a function looks at together: its arrays take some 60 times that
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,24 +23,37 @@ def ship(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+#: Functions that let go what a worker keeps between the tasks of the token operators.
+KEPT: list[Callable[[], None]] = []
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class tidy:
     """A function of a task's batches that gives free memory back to the system when the task ends: workers live on, and
-    what one stage has taken would count against the next one's."""
+    what one stage has taken would count against the next one's. So does what is kept, unless the function uses it
+    (``keep``)."""
 
-    def __init__(self, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-        self.fn = fn
+    def __init__(self, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False):
+        self.fn, self.keep = fn, keep
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if KEPT and not self.keep:
+            for drop in KEPT:
+                drop()
+            _give_back()
         try:
             yield from self.fn(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            _give_back()
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema, limit: int = 1_000_000) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema, limit: int = PIECE, keep: bool = False) -> DataFrame:
     """mapInArrow with a function of one batch, sliced so that a batch holds a bounded number of bytes."""
     ship(df.sparkSession)
 
@@ -48,20 +62,21 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
             for part in slices(batch, limit):
                 yield from fn(part)
 
-    return df.mapInArrow(tidy(run), schema)
+    return df.mapInArrow(tidy(run, keep), schema)
 
 
-def slices(batch: pa.RecordBatch, limit: int = 6_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about ``limit`` bytes (a longer single row stands alone)."""
-    per = max(1, batch.nbytes // max(1, batch.num_rows))
+def slices(batch: pa.RecordBatch, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of about ``limit`` bytes (the row that goes beyond is the last of its run)."""
     if batch.nbytes <= limit or batch.num_rows <= 1:
         if batch.num_rows:
             yield batch
         return
-    weight = np.full(batch.num_rows, per, np.int64)
+    weight = np.ones(batch.num_rows, np.int64)
     for c in batch.columns:
         if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type):
-            weight = np.maximum(weight // 4, 1) + np.diff(offsets_of(c))
+            weight += np.diff(offsets_of(c)) + 4
+        else:
+            weight += c.nbytes // batch.num_rows
     ends = np.searchsorted(np.cumsum(weight), np.arange(limit, int(weight.sum()) + limit, limit), "left") + 1
     at = 0
     for e in np.unique(np.minimum(ends, batch.num_rows)):

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from textloom.llm._common import KEPT
+
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_VOCAB_BYTES = 64 << 20
 
@@ -108,6 +110,9 @@ def vocabulary(source: Source) -> Vocabulary:
     return Vocabulary(source)
 
 
+KEPT.append(vocabulary.cache_clear)
+
+
 _find = regex.compile(PATTERN).findall
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import arrow_map
+from textloom.llm._common import KEPT, arrow_map
 from textloom.llm.bpe import Source, Vocabulary, default_vocabulary, merge_counts, pretokens, texts_of, vocabulary
 
 REMEMBER = 500_000
@@ -139,6 +139,9 @@ def encoder(source: Source) -> Encoder:
     return Encoder(source)
 
 
+KEPT.append(encoder.cache_clear)
+
+
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
     """The text of ids, special strings included; bytes that aren't UTF-8 become U+FFFD."""
     return expand(np.asarray(ids, np.int64), v.blob, v.offset).tobytes().decode("utf-8", "replace")
@@ -171,7 +174,7 @@ def _decode(batch: pa.RecordBatch, source: Source) -> Iterator[pa.RecordBatch]:
 def _per_row(df: DataFrame, value: str, key: str, fn, kind: str, vocabulary_path: str | None) -> DataFrame:
     source = Source.read(vocabulary_path or default_vocabulary())
     row = df.schema[key].dataType.simpleString()
-    return arrow_map(df.select(F.col(key).alias("__row"), F.col(value).alias("__t")), partial(fn, source=source), f"__row {row}, {kind}").withColumnRenamed("__row", key)
+    return arrow_map(df.select(F.col(key).alias("__row"), F.col(value).alias("__t")), partial(fn, source=source), f"__row {row}, {kind}", 1_000_000, keep=True).withColumnRenamed("__row", key)
 
 
 def encode_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary_path: str | None = None) -> DataFrame:

@@ -196,7 +196,7 @@ def _cells(batches: Iterator[pa.RecordBatch], k: int, min_coverage: float, kind:
                 got = pa.Table.from_batches(held, part.select(["i", "t"]).schema).combine_chunks()
                 items = Items(got.column("i").to_pylist(), got.column("t").combine_chunks().cast(pa.string()) if got.num_rows else pa.array([], pa.string()), k)
                 held = []
-            for piece in slices(part, 1_000_000):
+            for piece in slices(part):
                 yield from _find(pa.RecordBatch.from_arrays([piece.column(4), piece.column(3)], names=["r", "t"]), items, min_coverage, kind)
 
 

@@ -34,13 +34,21 @@ _KIND = np.array([b for _, b in _FROM], np.int8)
 _LETTER = np.array([chr(c).isalpha() for c in range(0x34000)])  # no letter lies beyond
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """The hashed bin of the four bytes that end at each byte; separators all count as a blank."""
+_MUL = np.array([0x01000193, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
+
+
+def _grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The hashed bin of the four bytes that end at each byte; separators all count as a blank. A text's first
+    bytes have fewer before them, whatever text comes before it, so its grams are the same wherever a batch is cut."""
     x = data.astype(np.uint32)
-    a = x * np.uint32(0x01000193)
-    a[1:] ^= x[:-1] * np.uint32(0x9E3779B1)
-    a[2:] ^= x[:-2] * np.uint32(0x85EBCA6B)
-    a[3:] ^= x[:-3] * np.uint32(0xC2B2AE35)
+    a = x * _MUL[0]
+    for k in (1, 2, 3):
+        a[k:] ^= x[:-k] * _MUL[k]
+    for k in range(3):  # the first bytes of a text
+        at = off[:-1][np.diff(off) > k] + k
+        a[at] = x[at] * _MUL[0]
+        for j in range(1, k + 1):
+            a[at] ^= x[at - j] * _MUL[j]
     a *= np.uint32(0x27D4EB2F)
     return (a >> np.uint32(16)).astype(np.int64)
 
@@ -71,7 +79,7 @@ def _script(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _scan(column: pa.Array):
     data, off = text_bytes(column)
     w = words_of(data, off)
-    return w, _script(data, w.start, w.end), _grams(np.where(w.inside, data, np.uint8(32)))
+    return w, _script(data, w.start, w.end), _grams(np.where(w.inside, data, np.uint8(32)), off)
 
 
 def _count(batch: pa.RecordBatch, total: dict[str, np.ndarray]) -> None:
@@ -107,7 +115,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     def part(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for piece in slices(batch, 1_000_000):
+            for piece in slices(batch):
                 _count(piece, total)
         for name, a in total.items():
             i = np.flatnonzero(a)
@@ -202,7 +210,7 @@ def _scores(column: pa.Array, model: Model):
 def label_words(column: pa.Array, model: Model, penalty: float):
     """Of the words with a letter: the start, end, weight in bytes and label of each, and where each unit's begin."""
     parts, hard, at = [], [], 0
-    for piece in slices(pa.RecordBatch.from_arrays([column], names=["t"]), 1_000_000):
+    for piece in slices(pa.RecordBatch.from_arrays([column], names=["t"])):
         w, known, ptr, s, size = _scores(piece.column(0), model)
         label = np.zeros(len(known), np.int64)
         if len(known) and len(model.langs) > 1:

@@ -36,8 +36,8 @@ from textloom.llm.words import U, mix, text_bytes, words_of
 from textloom.session import discard, materialise
 
 BITS = 18
-BATCH = 200_000
-PAIRS = 1 << 18  # pairs of rows that are looked at together
+BATCH = 50_000
+PAIRS = 1 << 16  # pairs of rows that are looked at together
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the hash bins, in 64 pieces of 4,096."""
     total = np.zeros(1 << BITS, np.int64)
     for batch in batches:
-        for piece in slices(batch, 1_000_000):
+        for piece in slices(batch):
             w = words_of(*text_bytes(piece.column(0)))
             total += np.bincount((w.hash >> U(64 - BITS)).astype(np.int64), minlength=1 << BITS)
     if total.any():

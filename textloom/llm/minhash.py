@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import arrow_map, ship, small, tidy
+from textloom.llm._common import BATCH_BYTES, arrow_map, ship, slices, small, tidy
 from textloom.llm.words import U, mix, shingles_of, text_bytes, words_of
 from textloom.operators.components import connected_components
 from textloom.session import materialise
@@ -106,15 +106,31 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / total if total else 0.0
 
 
+def _parity(h: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
+    """The units' parity maps (n x MAP / 8 bytes), made for a few units at a time, as their counts take 64 times that."""
+    out = np.zeros((n, MAP // 8), np.uint8)
+    spot = (mix(h ^ U(0x5851F42D4C957F2D)) % U(MAP)).astype(np.int64)
+    for s in range(0, n, 256):
+        e = min(s + 256, n)
+        a, b = np.searchsorted(unit, (s, e))
+        odd = np.bincount((unit[a:b] - s) * MAP + spot[a:b], minlength=(e - s) * MAP) & 1
+        out[s:e] = np.packbits(odd.astype(np.uint8).reshape(e - s, MAP), axis=1)
+    return out
+
+
 def _sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
-    h, unit = shingles_of(words_of(*text_bytes(batch.column(1))))
+    parts, at = [], 0
+    for piece in slices(batch.select([1])):  # words piece by piece, signatures at once: the steps follow the longest process
+        h, unit = shingles_of(words_of(*text_bytes(piece.column(0))))
+        parts.append((h, unit + at))
+        at += piece.num_rows
+    h, unit = (np.concatenate(x) for x in zip(*parts, strict=True))
     sig = signatures(h, unit, n)
     code = (mix(sig.view(U)) >> U(48)).astype(np.uint16)
     has = ~np.isinf(sig[:, 0])
     out = [code[i].tobytes() if has[i] else None for i in range(n)]
-    odd = np.bincount(unit * MAP + (mix(h ^ U(0x5851F42D4C957F2D)) % U(MAP)).astype(np.int64), minlength=n * MAP).reshape(n, MAP) & 1
-    bits = np.packbits(odd.astype(np.uint8), axis=1)
+    bits = _parity(h, unit, n)
     size = np.bincount(unit, minlength=n).astype(np.int32)
     # One value holds all that is compared: the codes, the number of shingles and the parity map.
     out = [x and x + size[i].tobytes() + bits[i].tobytes() for i, x in enumerate(out)]
@@ -236,11 +252,11 @@ def text_classes(named: DataFrame, kind: str, threshold: float) -> tuple[DataFra
     spark = named.sparkSession
     ship(spark)
     least = int(np.floor((threshold - SLACK) * M))
-    signed = materialise(arrow_map(named, _sign, f"doc {kind}, digest string, sig binary"), "signatures").where("sig is not null")
+    signed = materialise(arrow_map(named, _sign, f"doc {kind}, digest string, sig binary", 2 * BATCH_BYTES), "signatures").where("sig is not null")
     nodes = signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    bands = arrow_map(nodes.select("node", "sig"), _bands, "bucket long, node long", 500_000)
+    bands = arrow_map(nodes.select("node", "sig"), _bands, "bucket long, node long")
     leads = bands.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     multi = materialise(bands.join(leads, "bucket"), "buckets")
     sa, sb = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
@@ -250,7 +266,7 @@ def text_classes(named: DataFrame, kind: str, threshold: float) -> tuple[DataFra
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc", "digest"), "node")
         texts = named.join(asked, ["doc", "digest"]).dropDuplicates(["node"]).select("node", "t")
         wide = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-        return materialise(arrow_map(wide.select("a", "b", "ta", "tb"), partial(_verify, threshold=threshold), "a long, b long", 1_000_000), "links")
+        return materialise(arrow_map(wide.select("a", "b", "ta", "tb"), partial(_verify, threshold=threshold), "a long, b long"), "links")
 
     pairs = multi.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     pairs = materialise(arrow_map(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), partial(_near, least=least, threshold=threshold), "a long, b long"), "pairs")

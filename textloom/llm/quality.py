@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 1_000_000):
+            for piece in slices(batch):
                 x = features(piece.column(1))
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["k", "y", "x"])
 

@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import arrow_map
+from textloom.llm._common import KEPT, arrow_map
 from textloom.llm.bpe import Source, default_vocabulary, merge_counts, pretokens, texts_of, vocabulary
 
 REMEMBER = 500_000
 _known: dict[str, dict[str, int]] = {}
+KEPT.append(_known.clear)
 
 
 def count_texts(texts: list[str], source: Source) -> list[int]:
@@ -53,5 +54,5 @@ def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", vocab
     """Per row: key, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
     source = Source.read(vocabulary_path or default_vocabulary())
     kind = docs.schema[key].dataType.simpleString()
-    out = arrow_map(docs.select(F.col(key).alias("__row"), F.col(text).cast("string").alias("__t")), partial(_count, source=source), f"__row {kind}, n_bytes long, n_tokens long")
+    out = arrow_map(docs.select(F.col(key).alias("__row"), F.col(text).cast("string").alias("__t")), partial(_count, source=source), f"__row {kind}, n_bytes long, n_tokens long", 1_000_000, keep=True)
     return out.select(F.col("__row").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

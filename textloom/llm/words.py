@@ -38,15 +38,20 @@ for _c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_":
     _WORD[_c] = True
 _WORD[128:] = True
 _pow = [np.ones(1, U), np.ones(1, U)]
+_KEPT = 1 << 19  # powers that a worker keeps
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        for k, p in enumerate((_P, _PI)):
-            a = np.full(n, p, U)
-            a[0] = 1
-            _pow[k] = np.multiply.accumulate(a)
-    return _pow[0][:n], _pow[1][:n]
+    if len(_pow[0]) >= n:
+        return _pow[0][:n], _pow[1][:n]
+    both = []
+    for p in (_P, _PI):
+        a = np.full(n, p, U)
+        a[0] = 1
+        both.append(np.multiply.accumulate(a, out=a))
+    if n <= _KEPT:  # those of a longer text go with it
+        _pow[:] = both
+    return both[0], both[1]
 
 
 def text_bytes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

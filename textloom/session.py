@@ -118,7 +118,8 @@ def bound_batches(spark: SparkSession, most: int) -> None:
     after the function that made them, so the setting has to outlive it."""
     now = spark.conf.get(_BATCH)
     if now.rstrip("b").isdigit() and int(now.rstrip("b")) > most:
-        spark.sparkContext._textloom_batch = now
+        if getattr(spark.sparkContext, "_textloom_batch", None) is None:
+            spark.sparkContext._textloom_batch = now
         spark.conf.set(_BATCH, f"{most}b")
 
 
