@@ -20,7 +20,8 @@ PREFERRED_CSV = ("train.csv", "raid_train_sample.csv", "raid.csv")
 
 def read_csv(spark: SparkSession, path: str | list[str], required: set[str] = frozenset({"id", "model"}), max_rows: int | None = None) -> DataFrame:
     """CSV with a header, quoted fields over several lines, doubled quotes; every value is text. ``.gz`` is read as such."""
-    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
+    # Without charToEscapeQuoteEscaping the parser takes NUL for that character and drops it before some others.
+    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("charToEscapeQuoteEscaping", '"').option("encoding", "UTF-8").csv(path)
     require(df, set(required))
     return df.limit(max_rows) if max_rows else df
 

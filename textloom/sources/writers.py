@@ -46,9 +46,13 @@ def summary(split_rows: DataFrame) -> dict:
     return out
 
 
+#: Quotes are doubled; Spark's writer cuts blanks, line ends and control characters off both ends of a value unless told not to.
+CSV = {"header": True, "escape": '"', "charToEscapeQuoteEscaping": '"', "compression": "gzip", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Gzip CSV with a header that ``readers.read_csv`` reads back: quotes doubled, line ends kept; null and empty are one."""
-    rows.write.option("header", True).option("escape", '"').option("compression", "gzip").option("emptyValue", "").mode("overwrite").csv(path)
+    """Gzip CSV with a header that ``readers.read_csv`` reads back: every character is kept; null and empty are one."""
+    rows.write.options(**CSV, emptyValue="").mode("overwrite").csv(path)
 
 
 def write_splits(rows: DataFrame, path: str, order: str | None = None) -> dict:
