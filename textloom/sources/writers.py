@@ -74,7 +74,7 @@ def write_shards(rows: DataFrame, path: str, shards: int = 32, config: dict | No
     spark = rows.sparkSession
     out = rows.select(*[F.col(c) for c in ASSIGNMENT_FIELDS]).withColumn("shard", shard(F.col("text_hash"), shards))
     by = out.repartition(F.col("split"), F.col("shard")).sortWithinPartitions("split", "shard", "record_id")
-    by.write.partitionBy("split", "shard").option("header", True).option("compression", "gzip").option("escape", '"').mode("overwrite").csv(f"{path}/assignments")
+    by.write.partitionBy("split", "shard").options(**CSV).mode("overwrite").csv(f"{path}/assignments")
     counts = shard_counts(out)
     index = [r.asDict() for r in counts.orderBy("split", "shard").collect()]  # splits times shards
     write_report(spark, f"{path}/shard_index.json", {"shards": shards, "fields": list(ASSIGNMENT_FIELDS), "files": index})
@@ -90,7 +90,7 @@ def shard_counts(rows: DataFrame) -> DataFrame:
 def write_pilot(rows: DataFrame, path: str, found: dict | None = None) -> None:
     """A sample's assignments, its ids, in the sample's order, and pilot_summary.json; a sample is small, so one file each."""
     ordered = rows.orderBy("pilot_rank")
-    ordered.coalesce(1).drop("pilot_rank").write.option("header", True).option("compression", "gzip").mode("overwrite").csv(f"{path}/pilot_assignments")
+    ordered.coalesce(1).drop("pilot_rank").write.options(**CSV).mode("overwrite").csv(f"{path}/pilot_assignments")
     ordered.select("record_id").coalesce(1).write.mode("overwrite").text(f"{path}/pilot_record_ids")
     labels = {r["label"]: r["n"] for r in rows.groupBy(F.col("label").cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()}
     write_report(rows.sparkSession, f"{path}/pilot_summary.json", {"rows": sum(labels.values()), "labels": labels, **(found or {})})
