@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,37 +52,55 @@ def select_groups(summaries: DataFrame, target_rows: int = 10_000, fraction: flo
     """(group_id) of the groups taken until their human rows reach the target.
 
     Each step takes the group of the least cost (distance from the target, excess, new coverage), ties by id. Groups
-    of equal human rows and coverage differ in their id only; the driver sees these classes, and of each at most as many
-    of the first ids as there can be steps.
+    of equal human rows and coverage differ in their id only. A group that covers something new can only be the first of
+    its class, as after it the class covers nothing new; any other one is the first left of all groups with as many human
+    rows, as a group of these that covers something new would cost less. So the driver sees the first of each class, and,
+    of each number of human rows, as many of the first ids as there can be steps.
     """
     t = summaries.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.coalesce(F.sum("human"), F.lit(0)).alias("h"), F.coalesce(F.sum("ai"), F.lit(0)).alias("a")).first()
     goal = target_human(t["n"], t["h"], target_rows, fraction, t["a"])
-    # Most groups may be alike: the first ids of each of 64 parts of a class, then the first of those.
+    # Most groups may be alike: the first ids of each of 64 parts, then the first of those.
     most = F.ceil(F.lit(goal) / F.col("human"))
-    part = Window.partitionBy("human", "coverage", F.pmod(F.xxhash64("group_id"), F.lit(64))).orderBy("group_id")
-    alike = Window.partitionBy("human", "coverage").orderBy("group_id")
-    heads = summaries.where("human > 0").withColumn("k", F.row_number().over(part)).where(F.col("k") <= most)
-    heads = heads.withColumn("k", F.row_number().over(alike)).where(F.col("k") <= most)
+    part = Window.partitionBy("human", F.pmod(F.xxhash64("group_id"), F.lit(64))).orderBy("group_id")
+    some = summaries.where("human > 0").select("group_id", "human", "coverage")
+    early = some.withColumn("k", F.row_number().over(part)).where(F.col("k") <= most)
+    early = early.withColumn("k", F.row_number().over(Window.partitionBy("human").orderBy("group_id"))).where(F.col("k") <= most).drop("k")
+    heads = some.groupBy("human", "coverage").agg(F.min("group_id").alias("group_id")).select("group_id", "human", "coverage")
     classes: dict[tuple, list[str]] = {}
-    for r in heads.select("group_id", "human", "coverage").toLocalIterator():
+    for r in early.union(heads).distinct().collect():
         classes.setdefault((r["human"], frozenset((c["kind"], c["value"]) for c in r["coverage"])), []).append(r["group_id"])
     queues = {k: sorted(v, reverse=True) for k, v in classes.items()}
     covered: set = set()
     taken, have = [], 0
+    alike = None  # per human rows and number of new kinds, a heap of classes by their first id
     while have < goal:
+        if alike is None:
+            alike = {}
+            for at, ((h, cover), ids) in enumerate(queues.items()):
+                if ids:
+                    alike.setdefault((h, len(cover - covered)), []).append((ids[-1], at, (h, cover)))
+            for heap in alike.values():
+                heapq.heapify(heap)
         best = None
-        for (h, cover), ids in queues.items():
-            if ids:
-                total = have + h
-                cost = abs(total - goal) / max(goal, 1) + 3 * max(0, total - goal) / max(goal, 1) - 0.03 * len(cover - covered)
-                if best is None or (cost, ids[-1]) < best[:2]:
-                    best = (cost, ids[-1], h, cover)
+        for (h, new), heap in alike.items():
+            total = have + h
+            cost = abs(total - goal) / max(goal, 1) + 3 * max(0, total - goal) / max(goal, 1) - 0.03 * new
+            if best is None or (cost, heap[0][0]) < best[:2]:
+                best = (cost, heap[0][0], h, new)
         if best is None:
             raise ValueError("the groups don't hold enough human rows")
-        queues[(best[2], best[3])].pop()
-        taken.append(best[1])
-        have += best[2]
-        covered |= best[3]
+        heap = alike[best[2:]]
+        group, at, key = heapq.heappop(heap)
+        queues[key].pop()
+        if queues[key]:
+            heapq.heappush(heap, (queues[key][-1], at, key))
+        elif not heap:
+            del alike[best[2:]]
+        taken.append(group)
+        have += key[0]
+        if key[1] - covered:
+            covered |= key[1]
+            alike = None
     return summaries.sparkSession.createDataFrame([(g,) for g in taken], "group_id string")
 
 
